@@ -90,11 +90,10 @@ ALNUM = re.compile(r"[^\W_]+")
 CYRILLIC = re.compile(r"[Ѐ-ӿ]")
 
 #: A token that holds a digit, without the punctuation that closes it.
-NUMBER = re.compile(r"[^\s\d]*\d[^\s]*?(?=[.,;:!?)”\"»]*(?:\s|$))")
-STOPPED = re.compile(r"([^\W\d_]+)[)”\"»’]*[.!](?=\s|$)")
-BEFORE_NUMBER = re.compile(r"([^\W\d_]+)\s+0(?!\w)")
-BEFORE_NUMBER_STOPPED = re.compile(r"([^\W\d_]+)\s+0[)”\"»’]*[.!](?=\s|$)")
-LAST = re.compile(r"(?:([^\W\d_]+)\s+)?(\S+)\s*$")
+NUMBER = re.compile(r"(?<!\S)[^\s\d]*\d\S*?(?=[.,;:!?)”\"»]*(?:\s|$))")
+STOPPED = re.compile(r"\b([^\W\d_]+)[)”\"»’]*[.!](?=\s|$)")
+BEFORE_NUMBER = re.compile(r"\b([^\W\d_]+)\s+0(?!\w)")
+BEFORE_NUMBER_STOPPED = re.compile(r"\b([^\W\d_]+)\s+0[)”\"»’]*[.!](?=\s|$)")
 OPEN_END = re.compile(r"(?:(?:^|\n)\s*(?:\d+[.)]|[-*•–])|[^\W\d_]-|[,(\[{„«])\s*$")
 #: Words of an answer that counts as short, where a bare noun phrase is complete.
 SHORT = 5
@@ -104,12 +103,13 @@ SUPPORT, CLOSES, CLOSES_SHORT = 20, 0.008, 0.0007
 
 def last_key(text: str) -> str | None:
     """What `text` ends with, as ending_counts has it; None after closing punctuation."""
-    found = LAST.search(NUMBER.sub("0", text))
-    if found is None:
+    tail = text.rsplit(None, 2)
+    if not tail:
         return None
-    before, token = found.groups()
+    token = NUMBER.sub("0", tail[-1])
     if token == "0":
-        return f"{(before or '').lower()} 0"
+        before = LETTERS.findall(tail[-2]) if len(tail) > 1 else []
+        return f"{before[-1].lower()} 0" if before and tail[-2].endswith(before[-1]) else " 0"
     letters = LETTERS.findall(token)
     return letters[-1] if letters and token.endswith(letters[-1]) else None
 
@@ -146,12 +146,10 @@ def ending_counts(pairs: DataFrame) -> DataFrame:
 
 def language_votes(text: str) -> Counter:
     """Function words of each language in `text`; Cyrillic words vote for ru."""
-    votes: Counter = Counter()
-    for word in LETTERS.findall(text.lower()):
-        for language in VOTES.get(word, ()):
-            votes[language] += 1
-        if CYRILLIC.match(word):
-            votes["ru"] += 1
+    words = LETTERS.findall(text.lower())
+    votes = Counter(language for word in words if word in VOTES for language in VOTES[word])
+    if CYRILLIC.search(text):
+        votes["ru"] += sum(CYRILLIC.match(word) is not None for word in words)
     return votes
 
 

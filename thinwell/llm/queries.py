@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from thinwell.llm.broken_pairs import first_defects, pair_defects
+from thinwell.llm.leaks import leaks, turn_texts, whole_leaks
 from thinwell.llm.near_duplicates import near_duplicate_classes, near_duplicate_pairs
+from thinwell.llm.splitting import oversized_items, split_oversized
 from thinwell.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,8 +23,24 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": lambda s, d: near_duplicate_pairs(_source(s, d)),
         "p1_classes": lambda s, d: near_duplicate_classes(_source(s, d)),
+        "p2_found": lambda s, d: first_defects(_source(s, d)),
+        "p2_defects": lambda s, d: pair_defects(_source(s, d)),
+        "p6_found": lambda s, d: oversized_items(_source(s, d)),
+        "p6_pieces": lambda s, d: split_oversized(_source(s, d)).drop("images"),
+        "p7_found": lambda s, d: whole_leaks(_source(s, d), table(s, d, "eval_samples")),
+        "p7_leaks": lambda s, d: leaks(turn_texts(_source(s, d)), table(s, d, "eval_samples")),
     }
 
 
+P6_FOUND = """
+SELECT row_id, CAST(turn_idx AS INTEGER) AS turn_idx, field FROM (
+    SELECT row_id, i - 1 AS turn_idx, field, CASE field WHEN 'user' THEN texts[i]."user" ELSE texts[i].assistant END AS text
+    FROM source_docs, range(1, len(texts) + 1) AS r(i), (VALUES ('user'), ('assistant')) AS f(field)
+) WHERE length(text) > 1200
+UNION
+SELECT row_id, -1, 'images' FROM source_docs WHERE len(images) > 8
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p6_found": P6_FOUND}
