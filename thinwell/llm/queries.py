@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from thinwell.llm.broken_pairs import first_defects, pair_defects
 from thinwell.llm.leaks import leaks, turn_texts, whole_leaks
 from thinwell.llm.near_duplicates import near_duplicate_classes, near_duplicate_pairs
+from thinwell.llm.neighbours import nearest, neighbour_pairs
 from thinwell.llm.splitting import oversized_items, split_oversized
+from thinwell.llm.varied_subset import varied_subset
 from thinwell.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +27,9 @@ def queries() -> dict[str, Query]:
         "p1_classes": lambda s, d: near_duplicate_classes(_source(s, d)),
         "p2_found": lambda s, d: first_defects(_source(s, d)),
         "p2_defects": lambda s, d: pair_defects(_source(s, d)),
+        "p3_subset": lambda s, d: varied_subset(table(s, d, "embedded_rows"), _source(s, d)),
+        "p4_found": lambda s, d: neighbour_pairs(table(s, d, "embedded_rows")),
+        "p4_nearest": lambda s, d: nearest(table(s, d, "embedded_rows")).select("id", "neighbour", "place"),
         "p6_found": lambda s, d: oversized_items(_source(s, d)),
         "p6_pieces": lambda s, d: split_oversized(_source(s, d)).drop("images"),
         "p7_found": lambda s, d: whole_leaks(_source(s, d), table(s, d, "eval_samples")),
