@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from thinwell.llm.broken_pairs import first_defects, pair_defects
+from thinwell.llm.languages import stretch_languages, wrong_labels
 from thinwell.llm.leaks import leaks, turn_texts, whole_leaks
 from thinwell.llm.near_duplicates import near_duplicate_classes, near_duplicate_pairs
 from thinwell.llm.neighbours import nearest, neighbour_pairs
@@ -30,6 +31,8 @@ def queries() -> dict[str, Query]:
         "p3_subset": lambda s, d: varied_subset(table(s, d, "embedded_rows"), _source(s, d)),
         "p4_found": lambda s, d: neighbour_pairs(table(s, d, "embedded_rows")),
         "p4_nearest": lambda s, d: nearest(table(s, d, "embedded_rows")).select("id", "neighbour", "place"),
+        "p5_found": lambda s, d: wrong_labels(table(s, d, "flat_turns")),
+        "p5_stretches": lambda s, d: stretch_languages(table(s, d, "flat_turns")),
         "p6_found": lambda s, d: oversized_items(_source(s, d)),
         "p6_pieces": lambda s, d: split_oversized(_source(s, d)).drop("images"),
         "p7_found": lambda s, d: whole_leaks(_source(s, d), table(s, d, "eval_samples")),
