@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from thinwell.llm.broken_pairs import first_defects, pair_defects
+from thinwell.llm.garbled import garbled_documents, repair_documents
 from thinwell.llm.languages import stretch_languages, wrong_labels
 from thinwell.llm.leaks import leaks, turn_texts, whole_leaks
 from thinwell.llm.near_duplicates import near_duplicate_classes, near_duplicate_pairs
@@ -37,6 +38,8 @@ def queries() -> dict[str, Query]:
         "p6_pieces": lambda s, d: split_oversized(_source(s, d)).drop("images"),
         "p7_found": lambda s, d: whole_leaks(_source(s, d), table(s, d, "eval_samples")),
         "p7_leaks": lambda s, d: leaks(turn_texts(_source(s, d)), table(s, d, "eval_samples")),
+        "p10_found": lambda s, d: garbled_documents(table(s, d, "documents")),
+        "p10_restored": lambda s, d: repair_documents(table(s, d, "documents")),
     }
 
 
