@@ -12,7 +12,9 @@ from thinwell.llm.languages import stretch_languages, wrong_labels
 from thinwell.llm.leaks import leaks, turn_texts, whole_leaks
 from thinwell.llm.near_duplicates import near_duplicate_classes, near_duplicate_pairs
 from thinwell.llm.neighbours import nearest, neighbour_pairs
+from thinwell.llm.packing import container_waste, pack_documents
 from thinwell.llm.splitting import oversized_items, split_oversized
+from thinwell.llm.tokens import decode_documents, encode_documents
 from thinwell.llm.varied_subset import varied_subset
 from thinwell.sources.tables import table
 
@@ -38,11 +40,17 @@ def queries() -> dict[str, Query]:
         "p6_pieces": lambda s, d: split_oversized(_source(s, d)).drop("images"),
         "p7_found": lambda s, d: whole_leaks(_source(s, d), table(s, d, "eval_samples")),
         "p7_leaks": lambda s, d: leaks(turn_texts(_source(s, d)), table(s, d, "eval_samples")),
+        "p8_ids": lambda s, d: encode_documents(table(s, d, "documents")),
+        "p8_decoded": lambda s, d: decode_documents(encode_documents(table(s, d, "documents"))),
+        "p9_containers": lambda s, d: pack_documents(table(s, d, "documents")),
+        "p9_waste": lambda s, d: container_waste(pack_documents(table(s, d, "documents"))),
         "p10_found": lambda s, d: garbled_documents(table(s, d, "documents")),
         "p10_restored": lambda s, d: repair_documents(table(s, d, "documents")),
     }
 
 
+P8_DECODED = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
+
 P6_FOUND = """
 SELECT row_id, CAST(turn_idx AS INTEGER) AS turn_idx, field FROM (
     SELECT row_id, i - 1 AS turn_idx, field, CASE field WHEN 'user' THEN texts[i]."user" ELSE texts[i].assistant END AS text
@@ -54,4 +62,4 @@ SELECT row_id, -1, 'images' FROM source_docs WHERE len(images) > 8
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p6_found": P6_FOUND}
+    return {"p6_found": P6_FOUND, "p8_decoded": P8_DECODED}
