@@ -49,6 +49,36 @@ def queries() -> dict[str, Query]:
     }
 
 
+VALID = """
+valid AS (
+    SELECT id, list_transform(min(embedding), lambda x: CAST(x AS DOUBLE)) AS e FROM embedded_rows
+    WHERE id IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    GROUP BY id)
+"""
+
+P3_SUBSET = rf"""
+WITH {VALID},
+asked AS (SELECT CAST(ceil(count(*) / 20.0) AS BIGINT) AS k FROM valid),
+signs AS (SELECT id, array_to_string(list_transform(range(1, 14), lambda i: CASE WHEN list_sum(list_transform(range(64), lambda d: e[d + 1] * (1 - 2 * (bit_count(d & i) % 2)))) > 0 THEN '1' ELSE '0' END), '') AS bits FROM valid),
+heads AS (SELECT row_id, min(hex(images[1].bytes)[1:64]) AS head FROM source_docs GROUP BY row_id),
+both_ AS (SELECT id, coalesce(head, '') AS head, left(bits, CAST(least(13, greatest(0, floor(log2(greatest(k, 1))) - 2)) AS INTEGER)) AS bits FROM signs, asked LEFT JOIN heads ON row_id = id),
+sized AS (SELECT *, regexp_extract(head, '^5035(?:0[9AD]|20)+((?:3[0-9])+)(?:0[9AD]|20)+((?:3[0-9])+)(?:0[9AD]|20)', 1) AS w, regexp_extract(head, '^5035(?:0[9AD]|20)+((?:3[0-9])+)(?:0[9AD]|20)+((?:3[0-9])+)(?:0[9AD]|20)', 2) AS h FROM both_),
+placed AS (SELECT id, CASE
+        WHEN starts_with(head, '89504E470D0A1A0A') AND length(head) >= 48 THEN 'png' || length(bin(CAST('0x' || head[33:40] AS BIGINT) * CAST('0x' || head[41:48] AS BIGINT)))
+        WHEN w <> '' THEN 'pgm' || length(bin(CAST(regexp_replace(w, '3(.)', '\1', 'g') AS BIGINT) * CAST(regexp_replace(h, '3(.)', '\1', 'g') AS BIGINT)))
+        ELSE 'none' END || '/' || bits AS cell FROM sized),
+ranked AS (SELECT id, cell, count(*) OVER (PARTITION BY cell) AS n, row_number() OVER (PARTITION BY cell ORDER BY md5(CAST(id AS VARCHAR)), id) AS rank_in_cell FROM placed)
+SELECT id, cell, CAST(rank_in_cell AS INTEGER) AS rank_in_cell FROM ranked ORDER BY ranked.rank_in_cell, n DESC, cell LIMIT (SELECT k FROM asked)
+"""
+
+NEAREST = f"""
+WITH {VALID}, sims AS (SELECT a.id, b.id AS neighbour, list_cosine_similarity(a.e, b.e) AS s FROM valid a, valid b WHERE a.id <> b.id),
+best AS (SELECT id, neighbour, CAST(row_number() OVER (PARTITION BY id ORDER BY s DESC, neighbour) AS INTEGER) AS place FROM sims QUALIFY place <= 5)
+"""
+P4_FOUND = f"{NEAREST} SELECT DISTINCT least(id, neighbour) AS id_a, greatest(id, neighbour) AS id_b FROM best"
+P4_NEAREST = f"{NEAREST} SELECT id, neighbour, place FROM best"
+
 P8_DECODED = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
 
 P6_FOUND = """
@@ -62,4 +92,4 @@ SELECT row_id, -1, 'images' FROM source_docs WHERE len(images) > 8
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p6_found": P6_FOUND, "p8_decoded": P8_DECODED}
+    return {"p3_subset": P3_SUBSET, "p4_found": P4_FOUND, "p4_nearest": P4_NEAREST, "p6_found": P6_FOUND, "p8_decoded": P8_DECODED}
