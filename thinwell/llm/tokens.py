@@ -2,7 +2,7 @@
 
 Texts are split into words by the tokenizer's own pattern, in Spark. Documents are
 spread over batches by a hash of their id; the distinct words of each batch are
-shuffled, every distinct word of the corpus is encoded once, and its ids are joined
+shuffled to one row a word, every distinct word is encoded once, and its ids go
 back to the batches that hold it. A batch then looks its words up by position. So
 what is shuffled per word is (distinct words of a batch), not every occurrence,
 and a word that is in every text costs one row a batch.
@@ -25,6 +25,8 @@ TOKENIZERS = "/opt/tokenizers"
 BYTE_BPE = "byte_bpe_50k.json"
 #: Characters of text in a batch, on average.
 BATCH = 8_000_000
+#: Batches that are listed with one word; a word is encoded once for so many batches.
+LISTED = 4_096
 
 # The split pattern of byte-level BPE, with its blanks and apostrophes spelt out for Java.
 BLANK = r"\p{IsWhite_Space}"
@@ -49,7 +51,7 @@ def _encode(shared):
         tokenizer = _tokenizer(shared.value)
         for batch in batches:
             found = [e.ids for e in tokenizer.encode_batch(batch.column("word").to_pylist(), add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(found, pa.list_(pa.int32()))], ["word", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("batches"), pa.array(found, pa.list_(pa.int32()))], ["word", "batches", "ids"])
 
     return run
 
@@ -81,8 +83,10 @@ def encode_documents(docs: DataFrame, tokenizer: str = f"{TOKENIZERS}/{BYTE_BPE}
     length = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     split = docs.select("doc_id", words(F.col("text")).alias("words"), F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-length // BATCH)))).cast("int").alias("batch"))
     held = split.select("batch", F.explode(F.array_distinct("words")).alias("word")).distinct()
-    encoded = held.select("word").distinct().mapInArrow(_encode(shared), "word string, ids array<int>")
-    table = held.join(encoded, "word").withColumnRenamed("batch", "held_in")
+    # A word's batches in lists of at most LISTED, so that no row grows with the corpus.
+    listed = held.groupBy("word", F.floor(F.col("batch") / LISTED)).agg(F.collect_list("batch").alias("batches"))
+    encoded = listed.select("word", "batches").mapInArrow(_encode(shared), "word string, batches array<int>, ids array<int>")
+    table = encoded.select(F.explode("batches").alias("held_in"), "word", "ids")
     return split.groupBy("batch").cogroup(table.groupBy("held_in")).applyInArrow(_look_up, "doc_id bigint, ids array<int>")
 
 
