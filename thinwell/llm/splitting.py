@@ -38,7 +38,7 @@ def cut_pattern(most: int) -> str:
 
 
 def text_pieces(text: Column, limit: int = TEXT_LIMIT, overlap: int = OVERLAP) -> Column:
-    """Array of the pieces of `text`, each struct<shared int, piece string>: its first `shared`
+    """Array of the pieces of `text` (none of an empty one), each struct<shared int, piece string>: its first `shared`
     characters repeat the end of the piece before."""
     if not 0 <= overlap < limit:
         raise ValueError("the overlap must be less than the limit")
@@ -49,7 +49,8 @@ def text_pieces(text: Column, limit: int = TEXT_LIMIT, overlap: int = OVERLAP) -
     # From the first word that begins inside the tail; the whole tail where none does.
     lead = lambda c: F.coalesce(F.nullif(F.regexp_extract(tail(c), r"(?s)\s(\S.*)\z", 1), F.lit("")), tail(c))
     leads = F.concat(F.array(F.lit("")), F.transform(F.slice(cores, F.lit(1), F.greatest(F.size(cores) - 1, F.lit(0))), lead))
-    return F.zip_with(leads, cores, lambda a, c: F.struct(F.length(a).alias("shared"), F.concat(a, c).alias("piece")))
+    made = F.zip_with(leads, cores, lambda a, c: F.struct(F.length(a).alias("shared"), F.concat(a, c).alias("piece")))
+    return F.filter(made, lambda p: p["piece"].isNotNull())
 
 
 def list_pieces(items: Column, limit: int = IMAGE_LIMIT, shared: int = SHARED) -> Column:
