@@ -14,6 +14,7 @@ read on the driver and broadcast (1.6 MB, fixed).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 from pathlib import Path
 
 import numpy as np
@@ -61,14 +62,18 @@ def _look_up(docs: pa.Table, table: pa.Table) -> pa.Table:
     lists = table.column("ids").combine_chunks()
     flat, offsets = lists.flatten().to_numpy(), lists.offsets.to_numpy()
     index = dict(zip(table.column("word").to_pylist(), range(len(lists))))
-    found = docs.column("words").combine_chunks()
-    ends = found.offsets.to_numpy()
-    at = np.fromiter(map(index.__getitem__, found.flatten().to_pylist()), np.int64, int(ends[-1] - ends[0]))
+    counts, words = [], []
+    for text, lengths in zip(docs.column("text").to_pylist(), docs.column("lengths").to_pylist()):
+        counts.append(len(lengths))
+        ends = list(accumulate(lengths))
+        words += map((text or "").__getitem__, map(slice, [0, *ends], ends))
+    ends = np.r_[0, np.cumsum(counts, dtype=np.int64)]
+    at = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
     starts, sizes = offsets[:-1][at], np.diff(offsets)[at]
     # Positions in `flat` of every id of every word, in the documents' order.
     before = np.cumsum(sizes) - sizes
     ids = flat[np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))] if len(at) else np.zeros(0, np.int32)
-    doc_ends = np.r_[0, np.cumsum(sizes)][ends - ends[0]]
+    doc_ends = np.r_[0, np.cumsum(sizes)][ends]
     return pa.table({"doc_id": docs.column("doc_id"), "ids": pa.ListArray.from_arrays(pa.array(doc_ends, pa.int32()), pa.array(ids, pa.int32()))})
 
 
@@ -81,13 +86,15 @@ def encode_documents(docs: DataFrame, tokenizer: str = f"{TOKENIZERS}/{BYTE_BPE}
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(Path(tokenizer).read_text(encoding="utf-8"))
     length = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    split = docs.select("doc_id", words(F.col("text")).alias("words"), F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-length // BATCH)))).cast("int").alias("batch"))
+    split = docs.select("doc_id", "text", words(F.col("text")).alias("words"), F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-length // BATCH)))).cast("int").alias("batch"))
     held = split.select("batch", F.explode(F.array_distinct("words")).alias("word")).distinct()
     # A word's batches in lists of at most LISTED, so that no row grows with the corpus.
     listed = held.groupBy("word", F.floor(F.col("batch") / LISTED)).agg(F.collect_list("batch").alias("batches"))
     encoded = listed.select("word", "batches").mapInArrow(_encode(shared), "word string, batches array<int>, ids array<int>")
     table = encoded.select(F.explode("batches").alias("held_in"), "word", "ids")
-    return split.groupBy("batch").cogroup(table.groupBy("held_in")).applyInArrow(_look_up, "doc_id bigint, ids array<int>")
+    # Lengths of the words travel beside the text: less than half of what the words themselves take.
+    cut_texts = split.select("doc_id", "text", F.transform("words", F.length).alias("lengths"), F.col("batch").alias("own"))
+    return cut_texts.groupBy("own").cogroup(table.groupBy("held_in")).applyInArrow(_look_up, "doc_id bigint, ids array<int>")
 
 
 def _byte_of_sign() -> dict[str, int]:
