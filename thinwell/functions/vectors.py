@@ -26,8 +26,9 @@ def norm(v: Column) -> Column:
 
 def normalise(v: Column) -> Column:
     """`v` at unit length, as doubles; null for a vector that is null, or of length zero."""
+    # The length is an argument beside the elements: inside the lambda it would be computed for each of them.
     length = norm(v)
-    return F.when(length > 0, F.transform(v, lambda x: x.cast("double") / length))
+    return F.when(length > 0, F.zip_with(v, F.array_repeat(length, F.size(v)), lambda x, n: x.cast("double") / n))
 
 
 def cosine(a: Column, b: Column) -> Column:

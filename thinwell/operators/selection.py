@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from thinwell.functions.vectors import normalise, valid_vector
 from thinwell.operators.paging import sharded, strided_pages
 from thinwell.plans.config import SelectionConfig
+from thinwell.sources.session import cut
 
 #: Vectors that one task may hold; larger pools are selected by one distributed pass for each pick.
 POOL = 200_000
@@ -104,6 +105,7 @@ def greedy_kcenter(pool: DataFrame, k: int, start_id: int | None = None, in_one_
     in one task; a larger one is never gathered: each pick is one distributed pass.
     `k` over the pool takes all of it; `k` of 0 or less, or an empty pool, none.
     """
+    pool = cut(pool.select("id", "embedding"))
     if k > 0 and pool.count() > in_one_task:
         spark = pool.sparkSession
         rows = [pool.where(F.col("id") == start_id).first() or pool.orderBy("id").first()] if start_id is not None else [pool.orderBy("id").first()]
@@ -115,7 +117,7 @@ def greedy_kcenter(pool: DataFrame, k: int, start_id: int | None = None, in_one_
                 break
             out.append((far["id"], len(out), max(far["distance"], 0.0), far["embedding"]))
         return spark.createDataFrame(out, PICKED)
-    return pool.select("id", "embedding").groupBy().applyInArrow(_pick(k, start_id), PICKED)
+    return pool.groupBy().applyInArrow(_pick(k, start_id), PICKED)
 
 
 def local_coresets(rows: DataFrame, k: int, shard: str = "shard") -> DataFrame:
@@ -178,7 +180,7 @@ def global_merge(local: DataFrame, final_size: int, start_id: int | None = None)
 
     Raises where no shard has a candidate.
     """
-    pool = local.groupBy("id").agg(F.min("embedding").alias("embedding"))
+    pool = cut(local.groupBy("id").agg(F.min("embedding").alias("embedding")))
     if pool.isEmpty():
         raise ValueError("no candidates: every shard is empty")
     return greedy_kcenter(pool, final_size, start_id)

@@ -12,13 +12,16 @@ from pyspark.sql import functions as F
 from thinwell.sources.session import cut
 
 #: Vectors of a block; a task multiplies two blocks.
-BLOCK = 2_048
+BLOCK = 1_024
+#: Tasks that block pairs are dealt out to, at most.
+PARTS = 4_096
 #: Counting bins over [-1, 1] that locate the median; only values of its own bin are looked at again.
 BINS = 1 << 16
 
 
 def _blocks(vectors: DataFrame) -> DataFrame:
     """block, data: the vectors (unit length, doubles) packed in blocks of about BLOCK rows."""
+    vectors = cut(vectors.select("id", "embedding"))
     n = vectors.count()
     blocks = max(1, -(-n // BLOCK))
 
@@ -35,7 +38,9 @@ def _block_pairs(blocks: DataFrame) -> DataFrame:
     count = (blocks.agg(F.max("block")).first()[0] or 0) + 1
     numbers = blocks.sparkSession.range(count).select(F.col("id").cast("int").alias("a"), F.explode(F.sequence(F.col("id").cast("int"), F.lit(count - 1))).alias("b"))
     side = lambda x: blocks.select(F.col("block").alias(x), F.col("n").alias(f"n_{x}"), F.col("data").alias(f"data_{x}"))
-    return numbers.join(side("a"), "a").join(side("b"), "b")
+    pairs = numbers.join(side("a"), "a").join(side("b"), "b")
+    # A few kilobytes of blocks are much work: a number of partitions that adaptive execution keeps.
+    return pairs.repartition(min(count * (count + 1) // 2, PARTS))
 
 
 def _values(row: dict) -> np.ndarray:
@@ -60,7 +65,9 @@ def _bin(values: np.ndarray) -> np.ndarray:
 
 
 def _moments(values: np.ndarray) -> pa.RecordBatch:
-    bins, counts = np.unique(_bin(values), return_counts=True)
+    counts = np.bincount(_bin(values), minlength=BINS)
+    bins = np.nonzero(counts)[0]
+    counts = counts[bins]
     n = len(values)
     return pa.RecordBatch.from_arrays(
         [pa.array([n], pa.int64()), *(pa.array([float(f(values)) if n else None], pa.float64()) for f in (np.sum, lambda v: (v * v).sum(), np.min, np.max)), pa.array([bins], pa.list_(pa.int32())), pa.array([counts], pa.list_(pa.int64()))],
@@ -91,11 +98,13 @@ def pairwise_stats(vectors: DataFrame) -> DataFrame:
     before = int(by_bin.loc[by_bin["bin"] < wanted[0], "n"].sum())
 
     def inside(values: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(values[np.isin(_bin(values), wanted)], pa.float64())], ["value"])
+        bins = _bin(values)
+        return pa.RecordBatch.from_arrays([pa.array(values[(bins == wanted[0]) | (bins == wanted[-1])], pa.float64())], ["value"])
 
     close = _map_values(pairs, inside, "value double")
-    middle = [close.select(F.percentile("value", F.lit((r - before) / max(1, int(by_bin.loc[by_bin["bin"].isin(wanted), "n"].sum()) - 1))).alias("m")) for r in ranks]
-    median = float(np.mean([m.first()["m"] for m in middle[: len(set(ranks))]]))
+    spread = max(1, int(by_bin.loc[by_bin["bin"].isin(wanted), "n"].sum()) - 1)
+    middle = close.select(F.percentile("value", F.array(*(F.lit((r - before) / spread) for r in ranks))).alias("m")).first()["m"]
+    median = float(np.mean(middle))
     mean = sums["total"] / n
     std = float(np.sqrt(max(sums["squares"] / n - mean * mean, 0.0)))
     return spark.createDataFrame([(2 * n, mean, median, std, sums["low"], sums["high"])], schema)
@@ -118,8 +127,8 @@ def pairwise_histogram(vectors: DataFrame, bins: int = 50) -> DataFrame:
 
     def count(values: np.ndarray) -> pa.RecordBatch:
         at = np.minimum(((values - low) / width).astype(np.int64), bins - 1) if width else np.full(len(values), bins - 1)
-        found, n = np.unique(at + 1, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(n, pa.int64())], ["bin", "n"])
+        n = np.bincount(at, minlength=bins)
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(1, bins + 1), pa.int32()), pa.array(n, pa.int64())], ["bin", "n"])
 
     counts = _map_values(pairs, count, "bin int, n bigint").groupBy("bin").agg((2 * F.sum("n")).alias("pairs"))
     every = spark.range(1, bins + 1).select(F.col("id").cast("int").alias("bin"))

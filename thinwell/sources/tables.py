@@ -15,6 +15,16 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with at least one partition for each core, for stages whose work is in Python.
+
+    Large tables have more splits than that and are left as they are; a small file of
+    one split is dealt out.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def first_delivery(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Per key the row that came first by `order`; aggregates before it shuffles.
 
