@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from thinwell.sources.tables import spread
+
 ORDER = ("empty", "copy", "refusal", "other_language", "truncated")
 
 # Function words by language.
@@ -235,6 +237,7 @@ def _cut_off():
 def pair_defects(docs: DataFrame) -> DataFrame:
     """row_id, turn_idx, defect: every triggered defect type of every pair."""
     pairs = docs.where("row_id is not null").select("row_id", F.col("texts.user").alias("user"), F.col("texts.assistant").alias("assistant"), F.transform("texts", lambda t: t.isNotNull()).alias("present"))
+    pairs = spread(pairs)
     judged = pairs.mapInArrow(_judge, "row_id bigint, turn_idx int, defects array<string>, ending string, short boolean")
     judged = judged.join(ending_counts(pairs.select("user", "assistant")), "ending", "left")
     every = F.when(_cut_off(), F.concat("defects", F.array(F.lit("truncated")))).otherwise(F.col("defects"))

@@ -23,9 +23,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from thinwell.sources.tables import spread
+
 LANGUAGES = ("en", "fr", "de", "es", "it", "pt", "nl", "ru")
 #: Labelled rows of each language that its profile is fitted on, at most.
-SAMPLE = 3_000
+SAMPLE = 1_000
 #: N-grams of a profile, their lengths, and the n-grams of a text that are ranked.
 PROFILE, LENGTHS, RANKED = 1_000, (1, 2, 3, 4), 400
 #: Words from which a turn is judged, and from which a stretch counts as a full sentence.
@@ -199,11 +201,11 @@ def identify(turns: DataFrame, profiles: Profiles | None = None) -> DataFrame:
 
     `label` is the delivered label as a code, null where it names no language.
     Null and blank texts and texts without letters hold no language. A turn
-    delivered twice counts once; an empty table gives an empty result.
+    delivered twice has two rows; an empty table gives an empty result.
     """
     profiles = profiles or fit_profiles(turns)
     keys = ["conv_idx", "turn_idx", "field"]
-    delivered = turns.select(*keys, language_code(F.col("lang")).alias("label"), "text").dropDuplicates([*keys, "label", "text"])
+    delivered = spread(turns.select(*keys, language_code(F.col("lang")).alias("label"), "text"))
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in delivered.schema.fields[:-1])
     judged = delivered.mapInArrow(_judge(profiles), f"{types}, words int, stretches {STRETCHES}")
     return judged.withColumn("langs", F.array_distinct(F.transform("stretches", lambda x: x["lang"])))
@@ -218,5 +220,6 @@ def wrong_labels(turns: DataFrame) -> DataFrame:
 
 
 def stretch_languages(turns: DataFrame) -> DataFrame:
-    """conv_idx, turn_idx, field, stretch_idx, stretch, lang, confidence: one row per stretch."""
-    return identify(turns).select("conv_idx", "turn_idx", "field", F.posexplode("stretches").alias("stretch_idx", "x")).select("conv_idx", "turn_idx", "field", "stretch_idx", "x.*")
+    """conv_idx, turn_idx, field, stretch_idx, stretch, lang, confidence: one row per stretch; a turn delivered twice counts once."""
+    each = identify(turns).select("conv_idx", "turn_idx", "field", F.posexplode("stretches").alias("stretch_idx", "x"))
+    return each.select("conv_idx", "turn_idx", "field", "stretch_idx", "x.*").dropDuplicates(["conv_idx", "turn_idx", "field", "stretch_idx", "stretch"])

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thinwell.llm.hashing import WordHashes, fixed_words, mix
+from thinwell.sources.tables import spread
 
 WINDOW = 10
 #: Word edits up to which a window counts as a partial leak.
@@ -183,7 +184,8 @@ def leaks(texts: DataFrame, samples: DataFrame) -> DataFrame:
             held, n = [], 0
     blocks += [held] if held else []
     schema = f"row_id {texts.schema['row_id'].dataType.simpleString()}, sample_id string, edits int"
-    found = [texts.select("row_id", "texts").mapInArrow(_search(_embed_items(b), "row_id"), schema) for b in blocks]
+    rows = spread(texts.select("row_id", "texts"))
+    found = [rows.mapInArrow(_search(_embed_items(b), "row_id"), schema) for b in blocks]
     if not found:
         return texts.sparkSession.createDataFrame([], schema)
     every = found[0]

@@ -22,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from thinwell.sources.tables import spread
+
 TOKENIZERS = "/opt/tokenizers"
 BYTE_BPE = "byte_bpe_50k.json"
 #: Characters of text in a batch, on average.
-BATCH = 8_000_000
+BATCH = 4_000_000
 #: Batches that are listed with one word; a word is encoded once for so many batches.
 LISTED = 4_096
 
@@ -86,7 +88,7 @@ def encode_documents(docs: DataFrame, tokenizer: str = f"{TOKENIZERS}/{BYTE_BPE}
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(Path(tokenizer).read_text(encoding="utf-8"))
     length = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    split = docs.select("doc_id", "text", words(F.col("text")).alias("words"), F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-length // BATCH)))).cast("int").alias("batch"))
+    split = spread(docs.select("doc_id", "text")).select("doc_id", "text", words(F.col("text")).alias("words"), F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-length // BATCH)))).cast("int").alias("batch"))
     held = split.select("batch", F.explode(F.array_distinct("words")).alias("word")).distinct()
     # A word's batches in lists of at most LISTED, so that no row grows with the corpus.
     listed = held.groupBy("word", F.floor(F.col("batch") / LISTED)).agg(F.collect_list("batch").alias("batches"))
