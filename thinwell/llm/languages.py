@@ -174,7 +174,8 @@ def fit_profiles(turns: DataFrame) -> Profiles:
     order = Window.partitionBy("code").orderBy(F.xxhash64("text"), "text")
     sample = labelled.distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= SAMPLE)
     fitted = sample.groupBy("code").agg(F.count("*").alias("n")).where("n >= 50").select("code")
-    profiles = sample.join(F.broadcast(fitted), "code", "left_semi").select("code", "text").groupBy("code").applyInArrow(_fit, "code string, grams array<string>")
+    texts = sample.join(F.broadcast(fitted), "code", "left_semi").select("code", "text").repartition(len(LANGUAGES), "code")
+    profiles = texts.groupBy("code").applyInArrow(_fit, "code string, grams array<string>")
     ranked = {row["code"]: row["grams"] for row in profiles.collect()}
     return Profiles({code: ranked.get(code) or _ranked(ngrams(SEEDS[code], _WordGrams()), PROFILE) for code in LANGUAGES})
 
