@@ -33,13 +33,13 @@ ORDER = ("empty", "copy", "refusal", "other_language", "truncated")
 
 # Function words by language.
 FUNCTION_WORDS = {
-    "en": "the of and to in is that for it on with as was which by from at this what who where does how under next about an are its has not read could please you me",
-    "de": "der die das und von zu den mit für auf ist im nicht ein eine dem des wird bitte welche welcher wer wo sie aus am laut über ohne unter wann warum auch hier zum zur neben",
-    "fr": "le la les de des du et un une dans pour sur est au aux que qui où quelle quel par avec ce selon sans plusieurs pourquoi quand pas vous en sous",
-    "es": "el la los las de del y en un una que para por con se su al dónde qué cuál quién según sin más varias cuándo como lo es debajo",
-    "it": "il lo la gli le di del della dello dei delle e in un una che per con da al alla dove quale chi secondo senza più nel nella cosa si anche sotto",
-    "pt": "o a os as de do da dos das e em um uma que para por com no na ao onde qual quem segundo sem mais não se sobre foi pelo pela",
-    "nl": "de het een van en in is op voor met aan bij te dat die wie waar welke volgens onder zonder naar over deze uit wat ook niet tot om",
+    "en": "the a no of and to in is that for it on with as was which by from at this what who where does how under next about an are its has not read could please you me were been have had will would can should there their they his her we our your my but or if than then also any all some such into between after before because while when why did do describe best following say give",
+    "de": "der die das und von zu den mit für auf ist im nicht ein eine dem des wird bitte welche welcher wer wo sie aus am laut über ohne unter wann warum auch hier zum zur neben können finde ich beschreiben mir dass oder aber wenn als wie sind war waren hat haben werden kann einem einer eines einen bis zwischen seit durch gegen bei nach vor während dieser diese dieses ihre er es wir sagt",
+    "fr": "le la les de des du et un une dans pour sur est au aux que qui où quelle quel par avec ce selon sans plusieurs pourquoi quand pas vous en sous quels quelles comment dit concernant plaît décrivez pourriez puis trouver été être ont sont était même mais ou donc car si comme tandis alors entre leur leurs ses son sa cette ces cet nous ils elles il elle on je lire ligne a l d n s",
+    "es": "el la los las de del y en un una que para por con se su al dónde qué cuál quién según sin más varias cuándo como lo es debajo cómo dice describa favor podría leerme puedo encontrar mientras pero o si está son fue ser hay este esta estos entre hasta desde sobre también muy ya sus nos fila a no",
+    "it": "il lo la gli le di del della dello dei delle e in un una che per con da al alla dove quale chi secondo senza più nel nella cosa si anche sotto quando come perché posso trovare descriva favore potrebbe leggere mi riga mentre ma o se sono è era essere ha hanno questo questa questi tra fino dal dalla sul sulla molto già suo sua loro uno l i a no",
+    "pt": "o a os as de do da dos das e em um uma que para por com no na ao onde qual quem segundo sem mais não se sobre foi pelo pela quando como porque posso encontrar descreva favor poderia ler linha enquanto mas ou são é era ser há este esta estes entre até desde também muito já seu sua seus nos nas diz",
+    "nl": "de het een van en in is op voor met aan bij te dat die wie waar welke volgens onder zonder naar over deze uit wat ook niet tot om wanneer hoe waarom kan kunt u vinden beschrijf alstublieft voorlezen mij regel terwijl maar of als zijn was waren worden wordt heeft hebben dit tussen sinds door na tijdens haar hij zij wij hun zegt",
     "ru": "и в на не что с по для из от к о за под это кто где какой какая без согласно во при почему когда",
 }
 # Names of the eight languages as a request may give them, by the language named.
@@ -87,6 +87,7 @@ for _language, _words in FUNCTION_WORDS.items():
     for _word in _words.split():
         VOTES.setdefault(_word, []).append(_language)
 NAMED = [(language, re.compile("|".join(names.split()))) for language, names in LANGUAGE_NAMES.items()]
+WORDS = re.compile(r"\w+")
 LETTERS = re.compile(r"[^\W\d_]+")
 ALNUM = re.compile(r"[^\W_]+")
 CYRILLIC = re.compile(r"[Ѐ-ӿ]")
@@ -97,6 +98,8 @@ STOPPED = re.compile(r"\b([^\W\d_]+)[)”\"»’]*[.!](?=\s|$)")
 BEFORE_NUMBER = re.compile(r"\b([^\W\d_]+)\s+0(?!\w)")
 BEFORE_NUMBER_STOPPED = re.compile(r"\b([^\W\d_]+)\s+0[)”\"»’]*[.!](?=\s|$)")
 OPEN_END = re.compile(r"(?:(?:^|\n)\s*(?:\d+[.)]|[-*•–])|[^\W\d_]-|[,(\[{„«])\s*$")
+#: Blank-separated words from which an answer's language is judged.
+SHORT_ANSWER = 3
 #: Words of an answer that counts as short, where a bare noun phrase is complete.
 SHORT = 5
 #: Occurrences from which an ending's statistics count, and the shares under which it is no ending.
@@ -146,28 +149,34 @@ def ending_counts(pairs: DataFrame) -> DataFrame:
     return counted.groupBy("ending").agg(*(F.sum(c).alias(c) for c in ("seen", "stopped", "bare", "phrase")))
 
 
-def language_votes(text: str) -> Counter:
-    """Function words of each language in `text`; Cyrillic words vote for ru."""
-    words = LETTERS.findall(text.lower())
-    votes = Counter(language for word in words if word in VOTES for language in VOTES[word])
+def language_votes(text: str) -> dict[str, float]:
+    """Function words of each language in `text`, a word of n languages counting 1/n for each; Cyrillic words count for ru.
+
+    Words with a digit in them, as in codes and checksums, count for none.
+    """
+    votes = dict.fromkeys(FUNCTION_WORDS, 0.0)
+    words = WORDS.findall(text.lower())
+    for word in words:
+        for language in VOTES.get(word, ()):
+            votes[language] += 1 / len(VOTES[word])
     if CYRILLIC.search(text):
         votes["ru"] += sum(CYRILLIC.match(word) is not None for word in words)
     return votes
 
 
-def language_of(votes: Counter) -> str | None:
-    """The language with at least two votes and two more than any other, else None."""
-    best = votes.most_common(2)
-    return best[0][0] if best and best[0][1] >= 2 and (len(best) < 2 or best[0][1] - best[1][1] >= 2) else None
+def language_of(votes: dict[str, float]) -> str | None:
+    """The language with a vote of at least one and one and a half times that of any other, else None."""
+    first, second = sorted(votes.values(), reverse=True)[:2]
+    return max(votes, key=votes.__getitem__) if first >= 1 and first >= 1.5 * second else None
 
 
 def _other_language(question: str, answer: str) -> bool:
-    asked = language_of(language_votes(question))
-    if asked is None:
-        return False
     votes = language_votes(answer)
     given = language_of(votes)
-    if given is None or given == asked or 2 * votes[asked] > votes[given]:
+    if given is None or len(answer.split()) < SHORT_ANSWER:
+        return False
+    asked = language_of(language_votes(question))
+    if asked is None or given == asked or 2 * votes[asked] > votes[given]:
         return False
     low = question.lower()
     return not any(language == given and names.search(low) for language, names in NAMED)
