@@ -82,9 +82,8 @@ def _ordered(s: SparkSession, d: str) -> DataFrame:
     source = _docs(s, d, "corpus")
     known = _vectors(s, d).select("id").join(source.select(F.col("row_id").alias("id")), "id", "left_semi")
     rows = retrieval.ordered_batches(source, known, "row_id", BATCH)
-    last = rows.agg((F.max("batch") + 1).alias("n"))
-    named = rows.join(F.broadcast(last)).withColumn("shard_name", shard_name(F.col("batch"), F.col("n")))
-    return named.select("row_id", "corpus", "position", "batch", "shard_name")
+    shards = -(-known.count() // BATCH)
+    return rows.withColumn("shard_name", shard_name(F.col("batch"), F.lit(shards))).select("row_id", "corpus", "position", "batch", "shard_name")
 
 
 def _dedup(s: SparkSession, d: str) -> DataFrame:
