@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from thinwell.sources.session import cut
+
 
 def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
     """One Parquet table, cut to `columns` when given; a column that is missing raises at once."""
@@ -25,12 +27,20 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+#: Up to so many repeated keys are broadcast, by count; more are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
+
+
 def first_delivery(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Per key the row that came first by `order`; aggregates before it shuffles.
+    """Of each key the row that was delivered first by `order`.
 
-    Null keys form one group. The other columns ride along as one struct.
+    Only keys and times are shuffled, to find the keys that occur more than once; the
+    rows themselves are filtered where they are. Rows that tie in `order` all stay, as
+    do rows with a null key.
     """
-    rest = [c for c in df.columns if c not in keys]
-    packed = F.struct(*(F.col(f"`{c}`") for c in rest))
-    least = df.groupBy(*keys).agg(F.min_by(packed, F.col(f"`{order}`")).alias("_row"))
-    return least.select(*keys, *(F.col("_row").getField(c).alias(c) for c in rest)).select(*df.columns)
+    times = df.groupBy(*keys).agg(F.min(order).alias("_first"), F.count("*").alias("_n"))
+    repeated = cut(times.where("_n > 1").drop("_n"))
+    if repeated.count() <= BROADCAST_KEYS:
+        repeated = F.broadcast(repeated)
+    rows = df.join(repeated, keys, "left").where(F.col("_first").isNull() | (F.col(order) == F.col("_first")))
+    return rows.select(*df.columns)
