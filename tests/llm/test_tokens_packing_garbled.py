@@ -136,3 +136,16 @@ def test_garbled_texts_are_found_and_restored(spark):
     assert sum(whole) >= len(bad) - 5
     assert got[len(texts) - 2].lost == 1 and got[len(texts) - 1].lost == 1
     assert gb.garbled_documents(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["cp1252", "latin1", "twice", "mac", "cp437", "cp1252 as cp1251"])
+def test_frequent_garbling_is_found(spark, name):
+    """Garbled texts that make up a third of the rows, copies or not, do not pass for usual."""
+    clean, rng = corpus(), random.Random(6)
+    bad = [GARBLED[name](WORDS["fr"])] * 120
+    bad += [GARBLED[name](" ".join(rng.sample(WORDS["fr"].split(), 12)) + f" {i}") for i in range(120)]
+    docs = spark.createDataFrame(list(enumerate(clean + bad)), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in gb.repair_documents(docs).collect()}
+    assert set(got) == set(range(len(clean), len(clean) + len(bad)))
+    if name == "latin1":
+        assert got[len(clean)].text == WORDS["fr"]

@@ -1,7 +1,9 @@
 """Problem 10: text garbled by a wrong character encoding.
 
-Over the whole corpus, adjacent character pairs with a character beyond ASCII are
-counted. The information of a pair, h(a) + h(b) - pmi(a, b), that is the negative
+Over the distinct texts of the corpus, adjacent character pairs with a character beyond
+ASCII are counted. So that garbled text does not make itself usual however much of
+it there is, runs that are UTF-8 read in another encoding count in their decoded form,
+and a letter that no word has at its place counts not at all (see `plain_form`, `_mixed`). The information of a pair, h(a) + h(b) - pmi(a, b), that is the negative
 logarithm of its share of all pairs, scores it: mutual information alone would
 be high inside garbled sequences, whose characters occur with one another only.
 Maximum-scoring segments of (information - USUAL) are the improbable runs. Inside
@@ -86,18 +88,61 @@ def pair_codes(text: str) -> np.ndarray:
     return a[at].astype(np.int64) << 21 | b[at]
 
 
+def _decoded(run: str) -> str | None:
+    """A run beyond ASCII whose every character is part of common letters or signs in UTF-8 read in another encoding, decoded."""
+    for table in DECODERS:
+        if all(c in table for c in run):
+            try:
+                made = bytes(table[c] for c in run).decode("utf-8")
+            except UnicodeDecodeError:
+                continue
+            if all(c in COMMON or "\x80" <= c < "\xa0" for c in made):
+                return made
+    return None
+
+
+def plain_form(run: str, known: dict[str, str]) -> str:
+    """A run beyond ASCII, decoded as often as `_decoded` can."""
+    if run not in known:
+        if len(known) >= REMEMBERED:
+            known.clear()
+        made = run
+        for _ in range(4):
+            if (again := _decoded(made)) is None:
+                break
+            made = again
+        known[run] = made
+    return known[run]
+
+
+def _mixed(codes: np.ndarray) -> np.ndarray:
+    """Which pairs join a letter of ASCII and a Cyrillic one, or have a small letter of ASCII before a capital beyond it."""
+    a, b = codes >> 21, codes & 0x1FFFFF
+    latin = lambda x: ((x | 32) >= 97) & ((x | 32) <= 122) & (x < 128)
+    cyrillic = lambda x: (x >= 0x400) & (x < 0x530)
+    capital = ((b >= 0xC0) & (b <= 0xDE) & (b != 0xD7)) | ((b >= 0x400) & (b < 0x430))
+    return (latin(a) & cyrillic(b)) | (cyrillic(a) & latin(b)) | ((a >= 97) & (a <= 122) & capital)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: dict[str, str] = {}
     for batch in batches:
-        texts = [t for t in batch.column("text").to_pylist() if t]
+        texts = [t if t.isascii() else BEYOND.sub(lambda m: plain_form(m[0], known), t) for t in batch.column("text").to_pylist() if t]
         codes = [pair_codes(f" {t} ") for t in texts]
+        codes = [c[~_mixed(c)] for c in codes]
         pairs, n = np.unique(np.concatenate(codes) if codes else np.zeros(0, np.int64), return_counts=True)
         total = sum(len(t) + 1 for t in texts)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[pairs, -1], pa.int64()), pa.array(np.r_[n, total], pa.int64())], ["pair", "n"])
 
 
 def count_pairs(docs: DataFrame) -> DataFrame:
-    """pair, n: how often each pair beyond ASCII occurs in the corpus; pair -1 is the number of all pairs."""
-    return docs.select("text").mapInArrow(_count, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    """pair, n: how often each pair beyond ASCII occurs in the distinct texts of the corpus; pair -1 is the number of all pairs."""
+    return docs.select("text").distinct().mapInArrow(_count, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+
+
+#: Letters and signs that a decoded run is made of, and the bytes of characters by encoding.
+COMMON = frozenset(map(chr, range(0xC0, 0x100))) | frozenset(map(chr, range(0x410, 0x450))) | SIGNS | frozenset("ЁёŒœ\xa0²³½ºª")
+DECODERS = [_bytes_of(read) for read in READ_AS]
 
 
 class Repair:
@@ -264,7 +309,7 @@ def repair_documents(docs: DataFrame) -> DataFrame:
     restored, the number of restored runs and of those beyond recovery.
 
     Null, empty and blank texts, and texts without a garbled run, give no row; a row
-    delivered twice gives one. Statistics are counted over all documents.
+    delivered twice gives one. Statistics are counted over all distinct texts.
     """
     docs = spread(docs.select("doc_id", "text"))
     counted = count_pairs(docs)
