@@ -186,3 +186,14 @@ def test_held_out_accuracy(spark):
     profiles = lg.fit_profiles(spark.createDataFrame(rows[:half], "text string, lang string"))
     judged = [(r.code, {x[1] for x in profiles.stretches(r.text)}) for r in rows[half:] if len(r.text.split()) >= 4]
     assert sum(code in held for code, held in judged) / len(judged) >= 0.9
+
+
+def test_bracketed_sentences_are_stretches(spark):
+    """A foreign sentence in brackets, without a full stop of its own, before, between and behind others."""
+    it, en = f"({SENTENCES['it'][:-1]})", SENTENCES["en"]
+    texts = [f"{it} {en}", f"{en} {it} {en}", f"{en[:-1]} {it}.", f"{en[:-1]} [{it}] {en}"]
+    rows = [(0, i, "user", SENTENCES[k], "s", k, 1) for i, k in enumerate(SENTENCES) for _ in range(60)]
+    rows += [(1, i, "user", t, "s", "en", 1) for i, t in enumerate([*texts, f"{en[:-1]} (see page 2) and (the) margin."])]
+    got = sorted((r.turn_idx, r.lang) for r in lg.wrong_labels(spark.createDataFrame(rows, TURNS)).collect() if r.conv_idx == 1)
+    assert got == [(i, k) for i in range(4) for k in ("en", "it")]
+    assert lg.parts_of("1) one (two three four five six (a) seven. Eight) nine :)") == ["1) one", "(two three four five six (a) seven.", "Eight)", "nine :)"]

@@ -6,7 +6,8 @@ out-of-place distance (Cavnar and Trenkle, 1994): the sum over its n-grams of th
 difference between the two ranks, or of a fixed penalty where the profile lacks
 the n-gram. Profiles are fitted on a bounded sample of labelled rows.
 
-A turn is cut into stretches at sentence ends, line ends and quotation marks.
+A turn is cut into stretches at sentence ends, line ends, quotation marks and
+brackets around as many words as a full sentence has.
 Its main language is that of the turn as a whole; a stretch that is a full
 sentence (STRETCH words or more) of another language adds that one.
 """
@@ -62,6 +63,9 @@ CODES = {spelling: code for code, spellings in SPELLINGS.items() for spelling in
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Ends of stretches: closing punctuation before a blank, a quotation mark, or the end; line ends; quotation marks.
 ENDS = re.compile(r"(?<=[.!?…])[\s]+|\n+|[“”„«»\"]+")
+#: Brackets, closing ones with the punctuation behind them.
+BRACKETS = re.compile(r"[(\[{]|[)\]}][.,;:!?…]*")
+OPENING = {")": "(", "]": "[", "}": "{"}
 CAPITAL = re.compile(r"(?<=\s)[^\W\d_a-zа-я]\w*")
 
 
@@ -103,6 +107,24 @@ class _Positions(dict):
         return len(self)
 
 
+def parts_of(text: str) -> list[str]:
+    """The stretches of `text`, in order; a bracket without its partner ends none."""
+    cuts, pending = {0, len(text)}, []
+    for found in BRACKETS.finditer(text):
+        opening = OPENING.get(found[0][0])
+        if opening is None:
+            pending.append(found)
+            continue
+        at = next((i for i in range(len(pending) - 1, -1, -1) if pending[i][0] == opening), None)
+        if at is not None:
+            if len(text[pending[at].end() : found.start()].split()) >= STRETCH:
+                cuts |= {pending[at].start(), found.end()}
+            del pending[at:]
+    places = sorted(cuts)
+    parts = [part.strip() for a, b in zip(places, places[1:]) for part in ENDS.split(text[a:b])]
+    return [part for part in parts if part]
+
+
 class Profiles:
     """Rank profiles of the languages, and the distance of texts to them."""
 
@@ -133,8 +155,7 @@ class Profiles:
         most letters among them, or the whole turn's where there is none; shorter
         stretches, and sentences that are hardly nearer another language, take it.
         """
-        parts = [part.strip() for part in ENDS.split(text)]
-        parts = [part for part in parts if part]
+        parts = parts_of(text)
         apart = [self.distances(part) if len(part.split()) >= STRETCH else None for part in parts]
         votes: Counter = Counter()
         for part, d in zip(parts, apart):
