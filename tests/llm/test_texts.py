@@ -37,12 +37,46 @@ DOCS = "row_id bigint, texts array<struct<user: string, assistant: string, sourc
         ("What?", "The missing sig-", ["truncated"]),
         (None, "The second page.", []),
         ("", "42", []),
+        ("What is on the page and in the margin of it?", "What is on the page and in the margin", ["copy"]),
+        ("What is on the page?", "What is on the page? What is on", ["copy"]),
+        ("What is on the page and in the margin?", "What is on the page and in the margin? The", ["copy"]),
+        ("Who wrote it?", "Who wrote it? Gelvarto", []),
+        ("What is on the page and in the margin of it?", "第二页显示缺少的签名和发票总额。", ["other_language"]),
+        ("What is on the page and in the margin of it?", "تظهر الصفحة الثانية التوقيع المفقود", ["other_language"]),
+        ("What is on the page and in the margin of it?", "Η δεύτερη σελίδα δείχνει την υπογραφή.", ["other_language"]),
+        ("What is on the page? Please answer in Chinese.", "第二页显示缺少的签名和发票总额。", []),
+        ("Translate the line into Greek.", "Η δεύτερη σελίδα δείχνει την υπογραφή.", []),
+        ("Which sign is in the margin?", "Ω, twice.", []),
+        ("第二页有什么？请说明一下", "The second page shows the date.", ["other_language"]),
+        ("What?", "The total (including the shipping fee and the tax.", ["truncated"]),
+        ("What?", "It runs:\n```\nx = 1", ["truncated"]),
+        ("What?", "It runs:\n```\nx = (1\n```\nas is.", []),
+        ("What?", "It says “the margin is missing.", ["truncated"]),
+        ("What?", "The values are [1, 2, 3", ["truncated"]),
+        ("What?", "1) one 2) two :( and „drei“ «quatre» a 5\" pipe (six).", []),
+        ("What is it?", "I'm not going to answer that.", ["refusal"]),
+        ("What is it?", "That request is declined.", ["refusal"]),
+        ("What is it?", "We are not in a position to comment on this.", ["refusal"]),
+        ("Quoi ?", "Je ne peux pas vous répondre.", ["refusal"]),
+        ("Was?", "Ich möchte dazu leider nicht antworten.", ["refusal"]),
+        (None, "申し訳ありませんが、その質問にはお答えできません。", ["refusal"]),
+        (None, "抱歉，我无法回答这个问题。", ["refusal"]),
+        ("What did the clerk do?", "The clerk did not answer, and the request was declined in May.", []),
     ],
 )
 def test_judge(question, answer, defects):
     assert bp.judge(question, answer)[0] == defects
 
 
+def test_short_cut_answers_are_found_however_many(spark):
+    """A third of the rows is one short cut answer, a third short noun phrases."""
+    rows = [(i, [(f"Which page shows the invoice of {i}, and the plot?", f"The sheet lists the total of the invoice {i} in the margin. It names the owner of the plot.", None)], None, None, None) for i in range(120)]
+    rows += [(200 + i, [("q?", "The invoice lists the", None)], None, None, None) for i in range(120)]
+    rows += [(400 + i, [("q?", "the owner of the plot", None)], None, None, None) for i in range(120)]
+    found = {(r.row_id, r.defect) for r in bp.first_defects(spark.createDataFrame(rows, DOCS)).collect()}
+    assert found == {(200 + i, "truncated") for i in range(120)}
+
+
 def test_endings_are_learnt_from_the_corpus(spark):
     rows = [(i, [("Which page?", f"The sheet shows the total of {i} crowns in the margin. It names the owner of the plot.", None)], None, None, None) for i in range(40)]
     rows += [

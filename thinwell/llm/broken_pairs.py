@@ -3,12 +3,15 @@
 Every pair is judged by its answer; a rule that triggers names a defect type:
 
 empty           null, or no letter and no digit
-copy            nothing but the question, in any case, spacing, punctuation or repetition
-refusal         a sentence that opens with a refusal phrase of one of eight languages
-other_language  script or function words of another language than the question's,
-                and the question names no such language
-truncated       an unclosed list marker or hyphen, or an ending that the corpus
-                never closes a sentence with (see `ending_counts`)
+copy            nothing but the question or its beginning, in any case, spacing, punctuation
+                or repetition, perhaps with one word of the question or a function word behind it
+refusal         a sentence that opens with a refusal: the first person with a negated ability
+                or will and a verb of answering, or a fixed phrase, in eight languages and
+                Japanese, Chinese, Korean and Arabic
+other_language  another script than the question's, or function words of another
+                language, and the question asks for no such language or translation
+truncated       an unclosed bracket, quotation or code fence, an open list marker or hyphen, or an
+                ending that the corpus never closes a sentence with (see `ending_counts`)
 
 `pair_defects` emits every triggered type, `first_defects` the first in the order above.
 
@@ -27,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from thinwell.sources.session import cut
 from thinwell.sources.tables import spread
 
 ORDER = ("empty", "copy", "refusal", "other_language", "truncated")
@@ -79,9 +83,45 @@ REFUSALS = (
     r"ik (?:kan|mag|wil|zal) (?:[\w]+ ){0,4}?niet (?:beantwoorden|helpen|bespreken|delen|beschrijven|bij helpen|op ingaan|zeggen|over praten)", r"(?:daar|hier|dat|dit|hierover|daarover|daarmee|hiermee) (?:kan|mag|wil) ik (?:[\w]+ ){0,3}?niet", r"(?:hierover|daarover|daar|hier) doe ik liever geen", r"ik (?:doe|geef) (?:hier|daar)?(?:over)? ?liever geen", r"ik (?:moet|wil) (?:dit|dat|uw verzoek|het verzoek)? ?(?:weigeren|afwijzen|afslaan)", r"het is (?:mij|me) niet (?:mogelijk|toegestaan)",
     r"я не (?:могу|смогу|имею права|буду|вправе|готов[а]?) ", r"не могу (?:ответить|помочь|обсуждать|комментировать|описать|поделиться)", r"(?:помочь|ответить) (?:с этим|на это|вам|здесь)? ?(?:не получится|не могу|не смогу|я не могу)", r"мне (?:не разрешено|нельзя|запрещено|не позволено)", r"(?:я )?предпочту (?:не |воздержаться)", r"(?:я )?предпочитаю не ", r"(?:я )?вынужден[а]? (?:отказать|отклонить|воздержаться)",
 )
+# Verbs of answering, by language.
+SPEAKING = {
+    "en": "answer|help|assist|share|discuss|comment|provide|describe|respond|reply|comply|fulfil|go into|talk|say|tell|give|speak|elaborate|disclose|reveal",
+    "fr": "répondre|aider|commenter|partager|décrire|donner|fournir|parler|discuter|traiter|dire|révéler",
+    "de": "beantworten|antworten|helfen|weiterhelfen|äußern|kommentieren|beschreiben|besprechen|weitergeben|sagen|eingehen|teilen|mitteilen|nennen|verraten",
+    "es": "responder|contestar|ayudar|comentar|compartir|describir|dar|hablar|atender|decir|proporcionar",
+    "it": "rispondere|aiutare|commentare|condividere|descrivere|fornire|parlare|dire|dare",
+    "pt": "responder|ajudar|comentar|partilhar|compartilhar|descrever|fornecer|falar|dizer|dar",
+    "nl": "beantwoorden|antwoorden|helpen|bespreken|delen|beschrijven|zeggen|praten|geven|ingaan",
+    "ru": "ответить|отвечать|помочь|обсуждать|комментировать|описать|поделиться|сказать|предоставить|говорить",
+}
+# The first person with a negated ability or will, by language; a verb of answering follows within a few words.
+UNWILLING = {
+    "en": r"(?:i|we)(?:(?: am|'m| are|'re) (?:just |simply |really )?(?:not (?:going|able|allowed|permitted|willing|prepared|in a position|at liberty|supposed) to|unable to|unwilling to)|(?: do not|'d not| don't| would not| wouldn't) (?:want|wish|like|care|intend) to)",
+    "fr": r"(?:je|nous) (?:ne|n')\s?(?:peux|puis|pourrai|pourrais|veux|souhaite|vais|saurais|dois|pouvons|souhaitons) ?(?:malheureusement)?(?: ?pas)?(?: (?:vous|te|y|en|la|le|lui|leur|l'|m'|d'))*",
+    "de": r"(?:ich|wir) (?:kann|darf|möchte|werde|will|können|dürfen|möchten|werden|wollen) (?:[\wäöüß]+ ){0,6}?nicht(?: [\wäöüß]+){0,3}?",
+    "es": r"no (?:puedo|podré|podría|quiero|deseo|voy a|debo|podemos)(?: te| le| lo| la| se)?",
+    "it": r"non (?:posso|potrò|potrei|voglio|desidero|intendo|devo|possiamo)",
+    "pt": r"não (?:posso|poderei|poderia|consigo|quero|desejo|vou|devo|podemos)(?: lhe| te| o| a)?",
+    "nl": r"(?:ik|wij|we) (?:kan|mag|wil|zal|ga|kunnen|mogen|willen) (?:[\w]+ ){0,5}?niet(?: [\w]+){0,2}?",
+    "ru": r"(?:я|мы) не (?:могу|смогу|буду|хочу|стану|намерен[аы]?|можем|будем)(?: вам| на это| это)?",
+}
+# Refusals of other languages, and in the passive.
+OTHER_REFUSALS = (
+    r"(?:your|this|that) (?:request|question) (?:is|must be|has to be|cannot be|can't be|will not be|won't be) (?:declined|refused|denied|rejected|answered)",
+    r"(?:[^。\n]{0,20}?)(?:お答え|回答|お手伝い|対応|ご説明|お伝え)[^。\n]{0,8}?(?:できません|できかねます|致しかねます|いたしかねます|控え)",
+    r"(?:[^。\n]{0,12}?)(?:无法|無法|不能|不便|拒绝|拒絕)[^。\n]{0,6}?(?:回答|提供|协助|協助|帮助|幫助|讨论|討論|评论|回应)",
+    r"(?:[^.\n]{0,20}?)(?:답변|답|도움|도와|제공|설명)[^.\n]{0,10}?(?:할 수 없|드릴 수 없|줄 수 없|수 없습니다|어렵습니다)",
+    r"(?:[^.\n]{0,16}?)لا (?:أستطيع|يمكنني|أقدر)[^.\n]{0,12}?(?:الإجابة|مساعدتك|المساعدة|الرد|الحديث)",
+)
+# Words by which a question asks for a translation, and names of scripts' languages in it.
+TRANSLATING = re.compile(r"transl|übersetz|uebersetz|tradui|traduc|traduz|traduç|tradur|vertal|vertaal|перев[ео]")
+SCRIPT_NAMES = {
+    "GREEK": "greek griech grec grieg greco grego grieks греческ", "ARABIC": "arab persian farsi urdu арабск", "HEBREW": "hebr иврит", "CJK": "chinese chines chinois chino cinese japan japon giappon kanji китайск японск",
+    "HANGUL": "korea coré corea корейск", "CYRILLIC": "russi russe ruso russo ukrain bulgar serb cyril русск", "THAI": "thai", "DEVANAGARI": "hindi sanskrit marathi nepali", "LATIN": "latin english englisch anglais inglés inglese inglês engels английск french german deutsch spanish",
+}
 QUESTION_LABELS = frozenset(("q", "a", "question", "answer", "frage", "antwort", "pregunta", "respuesta", "domanda", "risposta", "pergunta", "resposta", "vraag", "antwoord", "вопрос", "ответ", "réponse"))
 
-REFUSAL = re.compile(rf"(?:^|[.!?…:]\s+)[\s>“”\"'«»*_#-]*(?:{APOLOGIES}[\s,:;.!–—-]+(?:but |however,? |however |mais |aber |doch |pero |ma |mas |maar |но )?)*(?:{'|'.join(REFUSALS)})")
+REFUSAL = re.compile(rf"(?:^|[.!?…:。！？]\s*(?<=[\s。！？]))[\s>“”\"'«»*_#-]*(?:{APOLOGIES}[\s,:;.!–—-]+(?:but |however,? |however |mais |aber |doch |pero |ma |mas |maar |но )?)*(?:{'|'.join((*REFUSALS, *OTHER_REFUSALS, *(rf"{UNWILLING[k]}\s?(?:{SPEAKING[k]})" for k in UNWILLING)))})")
 VOTES: dict[str, list[str]] = {}
 for _language, _words in FUNCTION_WORDS.items():
     for _word in _words.split():
@@ -91,19 +131,29 @@ WORDS = re.compile(r"\w+")
 LETTERS = re.compile(r"[^\W\d_]+")
 ALNUM = re.compile(r"[^\W_]+")
 CYRILLIC = re.compile(r"[Ѐ-ӿ]")
+BEYOND_LATIN = re.compile(r"[^\W\d_\u0000-\u024f]")
 
 #: A token that holds a digit, without the punctuation that closes it.
 NUMBER = re.compile(r"(?<!\S)[^\s\d]*\d\S*?(?=[.,;:!?)”\"»]*(?:\s|$))")
 STOPPED = re.compile(r"\b([^\W\d_]+)[)”\"»’]*[.!](?=\s|$)")
+PAUSED = re.compile(r"\b([^\W\d_]+)[)”\"»’]*[.!?,;:…](?=\s|$)")
 BEFORE_NUMBER = re.compile(r"\b([^\W\d_]+)\s+0(?!\w)")
 BEFORE_NUMBER_STOPPED = re.compile(r"\b([^\W\d_]+)\s+0[)”\"»’]*[.!](?=\s|$)")
+BEFORE_NUMBER_PAUSED = re.compile(r"\b([^\W\d_]+)\s+0[)”\"»’]*[.!?,;:…](?=\s|$)")
 OPEN_END = re.compile(r"(?:(?:^|\n)\s*(?:\d+[.)]|[-*•–])|[^\W\d_]-|[,(\[{„«])\s*$")
-#: Blank-separated words from which an answer's language is judged.
-SHORT_ANSWER = 3
+CLOSING = {")": "(", "]": "[", "}": "{", "”": "“", "»": "«", "“": "„"}
+DELIMITERS = re.compile(r"```|(?<![:;=8])[(\[{]|[)\]}“”„«»]|(?<!\d)\"")
+#: Blank-separated words, or letters of a script without blanks, from which an answer's language is judged.
+SHORT_ANSWER, SHORT_LETTERS = 3, 6
+#: Words and share of the question that a copied beginning of it has at least.
+COPIED_WORDS, COPIED_SHARE = 4, 0.5
 #: Words of an answer that counts as short, where a bare noun phrase is complete.
 SHORT = 5
-#: Occurrences from which an ending's statistics count, and the shares under which it is no ending.
-SUPPORT, CLOSES, CLOSES_SHORT = 20, 0.008, 0.0007
+#: Occurrences from which an ending's statistics count, the share of full stops in answers under which it is no ending,
+#: and for short answers, where a bare noun phrase is complete: the occurrences, and the share of any punctuation.
+SUPPORT, SUPPORT_SHORT, CLOSES, CLOSES_SHORT = 20, 250, 0.008, 0.004
+#: Answers with one ending from which its statistics are broadcast, at most one row for each so many answers.
+HOT_ENDING = 100_000
 
 
 def last_key(text: str) -> str | None:
@@ -121,11 +171,12 @@ def last_key(text: str) -> str | None:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        seen, stopped, bare, phrase = Counter(), Counter(), Counter(), Counter()
+        seen, stopped, paused, bare = Counter(), Counter(), Counter(), Counter()
         for users, answers in zip(batch.column("user").to_pylist(), batch.column("assistant").to_pylist()):
             for text in users or []:
                 if text:
                     seen.update(LETTERS.findall(text))
+                    paused.update(PAUSED.findall(text))
             for text in answers or []:
                 if not text:
                     continue
@@ -134,19 +185,19 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 seen.update(f"{w.lower()} 0" for w in BEFORE_NUMBER.findall(flat))
                 stopped.update(STOPPED.findall(flat))
                 stopped.update(f"{w.lower()} 0" for w in BEFORE_NUMBER_STOPPED.findall(flat))
+                paused.update(PAUSED.findall(flat))
+                paused.update(f"{w.lower()} 0" for w in BEFORE_NUMBER_PAUSED.findall(flat))
                 if key := last_key(text):
                     bare[key] += 1
-                    if len(text.split()) <= SHORT:
-                        phrase[key] += 1
         keys = list(seen.keys() | bare.keys())
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in (seen, stopped, bare, phrase))], ["ending", "seen", "stopped", "bare", "phrase"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in (seen, stopped, paused, bare))], ["ending", "seen", "stopped", "paused", "bare"])
 
 
 def ending_counts(pairs: DataFrame) -> DataFrame:
     """Per word, and per word before a number ("word 0"), how often it occurs, closes a
-    sentence with a full stop, ends a text bare, and ends a short text bare. Counted over all rows."""
-    counted = pairs.mapInArrow(_count, "ending string, seen bigint, stopped bigint, bare bigint, phrase bigint")
-    return counted.groupBy("ending").agg(*(F.sum(c).alias(c) for c in ("seen", "stopped", "bare", "phrase")))
+    sentence of an answer with a full stop, stands before any punctuation, and ends an answer bare. Counted over all rows."""
+    counted = pairs.mapInArrow(_count, "ending string, seen bigint, stopped bigint, paused bigint, bare bigint")
+    return counted.groupBy("ending").agg(*(F.sum(c).alias(c) for c in ("seen", "stopped", "paused", "bare")))
 
 
 def language_votes(text: str) -> dict[str, float]:
@@ -170,7 +221,33 @@ def language_of(votes: dict[str, float]) -> str | None:
     return max(votes, key=votes.__getitem__) if first >= 1 and first >= 1.5 * second else None
 
 
+def scripts(text: str) -> Counter:
+    """Letters of each script in `text`, kanji and kana under CJK."""
+    beyond = Counter(BEYOND_LATIN.findall(text)) if not text.isascii() else Counter()
+    found: Counter = Counter()
+    for letter, n in beyond.items():
+        name = unicodedata.name(letter, "").partition(" ")[0]
+        found["CJK" if name in ("HIRAGANA", "KATAKANA", "KATAKANA-HIRAGANA") else name] += n
+    found["LATIN"] += sum(map(len, LETTERS.findall(text))) - beyond.total()
+    return found
+
+
+def _other_script(question: str, answer: str, low: str) -> bool:
+    if question.isascii() and answer.isascii():
+        return False
+    given, asked = scripts(answer), scripts(question)
+    script, letters = given.most_common(1)[0]
+    if len(answer.split()) < SHORT_ANSWER and (letters < SHORT_LETTERS or script not in ("CJK", "THAI")):
+        return False
+    if 2 * letters <= given.total() or asked.total() < SHORT_LETTERS or 4 * asked[script] > asked.total():
+        return False
+    return not TRANSLATING.search(low) and not any(name in low for name in SCRIPT_NAMES.get(script, script.lower()).split())
+
+
 def _other_language(question: str, answer: str) -> bool:
+    low = question.lower()
+    if _other_script(question, answer, low):
+        return True
     votes = language_votes(answer)
     given = language_of(votes)
     if given is None or len(answer.split()) < SHORT_ANSWER:
@@ -178,7 +255,6 @@ def _other_language(question: str, answer: str) -> bool:
     asked = language_of(language_votes(question))
     if asked is None or given == asked or 2 * votes[asked] > votes[given]:
         return False
-    low = question.lower()
     return not any(language == given and names.search(low) for language, names in NAMED)
 
 
@@ -187,13 +263,47 @@ def _squeezed(text: str) -> list[str]:
 
 
 def _copied(question: str, answer: str) -> bool:
-    words = _squeezed(answer)
-    asked, given = "".join(_squeezed(question)), "".join(words)
-    if not asked or len(given) < len(asked):
+    words, asking = _squeezed(answer), _squeezed(question)
+    if not asking:
         return False
-    if words[0] in QUESTION_LABELS and not asked.startswith(words[0]):
-        given = given[len(words[0]) :]
-    return given != "" and given == asked * (len(given) // len(asked))
+    if words[0] in QUESTION_LABELS and asking[0] != words[0]:
+        words = words[1:]
+
+    def copies(given: str, n: int) -> bool:
+        asked = "".join(asking)
+        if not given or not (asked * (len(given) // len(asked) + 1)).startswith(given):
+            return False
+        # Whole repetitions, or as much of the question that it is no chance.
+        return len(given) % len(asked) == 0 or n >= COPIED_WORDS and len(given) >= COPIED_SHARE * len(asked)
+
+    if copies("".join(words), len(words)):
+        return True
+    return len(words) > max(COPIED_WORDS, len(asking)) and (words[-1] in asking or words[-1] in VOTES) and copies("".join(words[:-1]), len(words) - 1)
+
+
+def unclosed(text: str) -> bool:
+    """Whether a bracket, quotation or code fence is left open; a mark before the first word, as around a whole answer, aside."""
+    first = ALNUM.search(text)
+    start = first.start() if first else 0
+    held: list[str] = []
+    for found in DELIMITERS.finditer(text):
+        mark = found[0]
+        if mark in ('"', "```"):
+            # The same sign opens and closes; inside a fence nothing else counts.
+            if mark in held:
+                del held[held.index(mark) :]
+            elif found.start() >= start or mark == "```":
+                held.append(mark)
+        elif "```" in held:
+            continue
+        elif mark == "“" and "„" not in held or mark in "([{„«":
+            if found.start() >= start:
+                held.append(mark)
+        elif (opening := CLOSING[mark]) in held:
+            del held[len(held) - 1 - held[::-1].index(opening) :]
+        elif mark == "»" and "»" not in held and "«" not in text:
+            held.append("»")
+    return any(mark != "»" for mark in held)
 
 
 def judge(question: str | None, answer: str | None) -> tuple[list[str], str | None]:
@@ -207,7 +317,7 @@ def judge(question: str | None, answer: str | None) -> tuple[list[str], str | No
         defects.append("refusal")
     if question and _other_language(question, answer):
         defects.append("other_language")
-    if OPEN_END.search(answer):
+    if OPEN_END.search(answer) or unclosed(answer):
         return [*defects, "truncated"], None
     return defects, last_key(answer)
 
@@ -234,13 +344,17 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _cut_off():
-    """Whether the corpus says that an ending stops short: a lower-case word that hardly occurs
-    inside texts is a fragment; a frequent one that never closes a sentence leaves it open."""
+def cut_endings(counts: DataFrame) -> DataFrame:
+    """ending, bare, cut, cut_short: the endings that stop short, of longer answers (cut) and of short ones.
+
+    A lower-case word that hardly occurs inside texts is a fragment; a frequent one
+    that never closes a sentence leaves it open. How often answers end with a word
+    says nothing, so broken answers do not make themselves usual, however many there are.
+    """
     inside = F.col("seen") - F.col("bare")
     fragment = F.col("ending").rlike(r"^\p{Ll}") & ~F.col("ending").endswith(" 0") & (inside <= F.col("bare"))
-    open_end = (inside >= SUPPORT) & (F.col("stopped") < CLOSES * inside) & (~F.col("short") | (F.col("phrase") < CLOSES_SHORT * inside))
-    return F.coalesce(F.col("ending").isNotNull() & (fragment | open_end), F.lit(False))
+    never = (inside >= SUPPORT) & (F.col("stopped") < CLOSES * inside)
+    return counts.where("bare > 0").select("ending", "bare", (fragment | never).alias("cut"), (fragment | never & (inside >= SUPPORT_SHORT) & (F.col("paused") < CLOSES_SHORT * inside) & ~F.col("ending").endswith(" 0")).alias("cut_short")).where("cut or cut_short")
 
 
 def pair_defects(docs: DataFrame) -> DataFrame:
@@ -248,9 +362,14 @@ def pair_defects(docs: DataFrame) -> DataFrame:
     pairs = docs.where("row_id is not null").select("row_id", F.col("texts.user").alias("user"), F.col("texts.assistant").alias("assistant"), F.transform("texts", lambda t: t.isNotNull()).alias("present"))
     pairs = spread(pairs)
     judged = pairs.mapInArrow(_judge, "row_id bigint, turn_idx int, defects array<string>, ending string, short boolean")
-    judged = judged.join(ending_counts(pairs.select("user", "assistant")), "ending", "left")
-    every = F.when(_cut_off(), F.concat("defects", F.array(F.lit("truncated")))).otherwise(F.col("defects"))
-    return judged.select("row_id", "turn_idx", F.explode(F.array_distinct(every)).alias("defect")).distinct()
+    shown = judged.select("row_id", "turn_idx", F.explode("defects").alias("defect"))
+    ends = cut(cut_endings(ending_counts(pairs.select("user", "assistant"))))
+    asked = judged.where("ending is not null").select("row_id", "turn_idx", "ending", "short")
+    # Of the endings that many answers share there are few: those are broadcast, the others joined by a shuffle.
+    hot = lambda df: df.where(F.col("bare") >= HOT_ENDING)
+    joined = asked.join(F.broadcast(hot(ends)), "ending").unionByName(asked.join(ends.where(F.col("bare") < HOT_ENDING), "ending"))
+    truncated = joined.where(F.when(F.col("short"), F.col("cut_short")).otherwise(F.col("cut"))).select("row_id", "turn_idx", F.lit("truncated").alias("defect"))
+    return shown.unionByName(truncated).distinct()
 
 
 def first_defects(docs: DataFrame) -> DataFrame:
