@@ -3,6 +3,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from thinwell.llm import neighbours as nb
 from thinwell.llm import varied_subset as vs
@@ -68,27 +69,81 @@ def test_partition_is_balanced():
     assert sizes.sum() == 1_000 and sizes.max() <= math.ceil(125 * nb.SLACK)
 
 
-def round_robin(cells, k):
+def digest(i):
+    return hashlib.md5(str(i).encode()).hexdigest()
+
+
+def likest_before(v, h, others):
+    return round(max([float(x @ v) for g, x in others if g < h], default=-2.0), 9)
+
+
+def by_hand(x, classes, k):
+    """The subset by the definition: anchors, leaders, cells and the round robin."""
+    u, h = nb.unit(x), [digest(i) for i in range(len(x))]
+    order = sorted(range(len(x)), key=h.__getitem__)
+    sample = [(h[i], u[i]) for i in order[: vs.SAMPLE]]
+    anchors = [v for _, _, v in sorted(((likest_before(v, g, sample), g, v) for g, v in sample), key=lambda t: t[:2])[: min(k, vs.ANCHORS)]]
+    near = {i: sorted(range(len(anchors)), key=lambda a: (-(u[i] @ anchors[a]), a))[: vs.REACH] for i in order}
+    held = {a: [i for i in order if near[i][0] == a][: vs.HELD] for a in range(len(anchors))}
+    likest = sorted((likest_before(u[i], h[i], [(h[j], u[j]) for b in near[i] for j in held[b]]), h[i], i) for a in held for i in held[a])
+    leaders = {i for *_, i in likest[:k]}
+    cells = {}
+    for i in order:
+        pool = [j for a in near[i] for j in held[a] if j in leaders]
+        cells[i] = (max(pool, key=lambda j: u[i] @ u[j]) if pool else f"a{near[i][0]}", classes.get(i, "none"))
     size = Counter(cells.values())
-    ranked, seen = [], Counter()
-    for i in sorted(cells, key=lambda i: (hashlib.md5(str(i).encode()).hexdigest(), i)):
+    place = {}
+    for leader in {c[0] for c in size}:
+        for n, c in enumerate(sorted((c for c in size if c[0] == leader), key=lambda c: (-size[c], f"{c[0]}/{c[1]}"))):
+            place[c] = n
+    seen, ranked = Counter(), []
+    for i in order:
         seen[cells[i]] += 1
-        ranked.append((seen[cells[i]], -size[cells[i]], cells[i], i))
+        ranked.append((seen[cells[i]], place[cells[i]], -size[cells[i]], "/".join(map(str, cells[i])), i))
     return {r[-1] for r in sorted(ranked)[:k]}
 
 
-def test_varied_subset_equals_round_robin(spark):
-    x = clustered(700, 7, 30)
-    x[:250] = x[0] + 0.001 * x[:250]
+@pytest.mark.parametrize("bounds", [None, (150, 12, 8, 2)])
+def test_varied_subset_equals_the_definition(spark, monkeypatch, bounds):
+    for name, value in zip(("SAMPLE", "ANCHORS", "HELD", "REACH"), bounds or ()):
+        monkeypatch.setattr(vs, name, value)
+    x = clustered(500, 7, 30)
+    x[:180] = x[0] + 0.001 * x[:180]
     docs = spark.read.parquet("/root/testdata/sf0.001/source_docs.parquet")
-    for one_in in (20, 7, 2, 1):
+    classes = {r.row_id: r.c for r in docs.select("row_id", vs.image_class(F.coalesce(F.hex(F.substring(F.get("images.bytes", F.lit(0)), 1, 32)), F.lit(""))).alias("c")).collect()}
+    for one_in in (20, 3, 1):
         rows = vs.varied_subset(frame(spark, enumerate(x)), docs, one_in).collect()
-        k = -(-700 // one_in)
-        bits = min(vs.MOST_SIGNS, max(0, math.floor(math.log2(k)) - 2))
-        sign = lambda v, i: "1" if sum(float(v[d]) * (-1) ** bin(d & i).count("1") for d in range(64)) > 0 else "0"
-        heads = {r.row_id: r.c for r in docs.select("row_id", vs.image_class(F.coalesce(F.hex(F.substring(F.get("images.bytes", F.lit(0)), 1, 32)), F.lit(""))).alias("c")).collect()}
-        cells = {i: heads.get(i, "none") + "/" + "".join(sign(x[i], j) for j in range(1, bits + 1)) for i in range(700)}
-        assert {r.id for r in rows} == round_robin(cells, k) and len(rows) == k
+        k = -(-500 // one_in)
+        assert len(rows) == k and {r.id for r in rows} == by_hand(x, classes, k)
+
+
+def test_variety(spark):
+    """Of the groups of like vectors of a whole table nearly all are represented, and few chosen rows are alike."""
+    folder = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{folder}/embedded_rows.parquet")
+    chosen = {r.id for r in vs.varied_subset(rows, spark.read.parquet(f"{folder}/source_docs.parquet")).collect()}
+    held = {r.id: r.embedding for r in rows.where(F.col("id").isNotNull() & vs.valid_vector("embedding", 64)).collect()}
+    ids = sorted(held)
+    u = nb.unit(np.array([held[i] for i in ids], np.float32))
+    group = np.full(len(u), -1)
+    for i in range(len(u)):
+        if group[i] < 0:
+            group[i], todo = i, [i]
+            while todo:
+                more = np.nonzero((u @ u[todo.pop()] >= 0.8) & (group < 0))[0]
+                group[more] = i
+                todo += more.tolist()
+    at = np.array([n for n, i in enumerate(ids) if i in chosen])
+
+    def twins(at):
+        s = u[at] @ u[at].T
+        np.fill_diagonal(s, 0)
+        return (s.max(axis=1) > 0.95).sum()
+
+    drawn = [np.random.default_rng(seed).choice(len(u), len(at), replace=False) for seed in range(5)]
+    assert len(at) == -(-len(u) // 20) and len(np.unique(group[at])) >= 0.9 * len(np.unique(group))
+    assert twins(at) < np.mean([twins(d) for d in drawn]) / 4
+    assert max(Counter(group[at].tolist()).values()) / len(at) < 0.03
 
 
 def test_varied_subset_edges(spark):

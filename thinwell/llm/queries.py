@@ -60,16 +60,26 @@ valid AS (
 P3_SUBSET = rf"""
 WITH {VALID},
 asked AS (SELECT CAST(ceil(count(*) / 20.0) AS BIGINT) AS k FROM valid),
-signs AS (SELECT id, array_to_string(list_transform(range(1, 14), lambda i: CASE WHEN list_sum(list_transform(range(64), lambda d: e[d + 1] * (1 - 2 * (bit_count(d & i) % 2)))) > 0 THEN '1' ELSE '0' END), '') AS bits FROM valid),
+unit AS (SELECT id, md5(CAST(id AS VARCHAR)) AS h, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS v FROM valid),
+sample AS (SELECT h, v FROM unit ORDER BY h LIMIT 2048),
+judged AS (SELECT b.h, any_value(b.v) AS v, coalesce(round(max(list_dot_product(a.v, b.v)), 9), -2) AS m FROM sample b LEFT JOIN sample a ON a.h < b.h GROUP BY b.h),
+anchors AS (SELECT v, row_number() OVER (ORDER BY m, h) AS anchor FROM judged QUALIFY anchor <= least(256, (SELECT k FROM asked))),
+near AS (SELECT id, h, u.v, anchor, row_number() OVER (PARTITION BY id ORDER BY list_dot_product(a.v, u.v) DESC, anchor) AS place FROM unit u, anchors a QUALIFY place <= 3),
+held AS (SELECT id, h, v, anchor FROM near WHERE place = 1 QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY h) <= 64),
+likest AS (SELECT c.id, any_value(c.h) AS h, coalesce(round(max(list_dot_product(o.v, c.v)), 9), -2) AS m FROM held c JOIN near n ON n.id = c.id LEFT JOIN held o ON o.anchor = n.anchor AND o.h < c.h GROUP BY c.id),
+leaders AS (SELECT id AS leader, h, v, anchor FROM held WHERE id IN (SELECT id FROM likest ORDER BY m, h LIMIT (SELECT k FROM asked))),
+led AS (SELECT n.id, leader FROM near n JOIN leaders l ON l.anchor = n.anchor QUALIFY row_number() OVER (PARTITION BY n.id ORDER BY list_dot_product(l.v, n.v) DESC, l.h) = 1),
+named AS (SELECT id, coalesce(CAST(leader AS VARCHAR), 'a' || (anchor - 1)) AS leader FROM near LEFT JOIN led USING (id) WHERE place = 1),
 heads AS (SELECT row_id, min(hex(images[1].bytes)[1:64]) AS head FROM source_docs GROUP BY row_id),
-both_ AS (SELECT id, coalesce(head, '') AS head, left(bits, CAST(least(13, greatest(0, floor(log2(greatest(k, 1))) - 2)) AS INTEGER)) AS bits FROM signs, asked LEFT JOIN heads ON row_id = id),
+both_ AS (SELECT id, leader, coalesce(head, '') AS head FROM named LEFT JOIN heads ON row_id = id),
 sized AS (SELECT *, regexp_extract(head, '^5035(?:0[9AD]|20)+((?:3[0-9])+)(?:0[9AD]|20)+((?:3[0-9])+)(?:0[9AD]|20)', 1) AS w, regexp_extract(head, '^5035(?:0[9AD]|20)+((?:3[0-9])+)(?:0[9AD]|20)+((?:3[0-9])+)(?:0[9AD]|20)', 2) AS h FROM both_),
-placed AS (SELECT id, CASE
+placed AS (SELECT id, leader, leader || '/' || CASE
         WHEN starts_with(head, '89504E470D0A1A0A') AND length(head) >= 48 THEN 'png' || length(bin(CAST('0x' || head[33:40] AS BIGINT) * CAST('0x' || head[41:48] AS BIGINT)))
         WHEN w <> '' THEN 'pgm' || length(bin(CAST(regexp_replace(w, '3(.)', '\1', 'g') AS BIGINT) * CAST(regexp_replace(h, '3(.)', '\1', 'g') AS BIGINT)))
-        ELSE 'none' END || '/' || bits AS cell FROM sized),
-ranked AS (SELECT id, cell, count(*) OVER (PARTITION BY cell) AS n, row_number() OVER (PARTITION BY cell ORDER BY md5(CAST(id AS VARCHAR)), id) AS rank_in_cell FROM placed)
-SELECT id, cell, CAST(rank_in_cell AS INTEGER) AS rank_in_cell FROM ranked ORDER BY ranked.rank_in_cell, n DESC, cell LIMIT (SELECT k FROM asked)
+        ELSE 'none' END AS cell FROM sized),
+sizes AS (SELECT leader, cell, count(*) AS n, row_number() OVER (PARTITION BY leader ORDER BY count(*) DESC, cell) AS place FROM placed GROUP BY leader, cell),
+ranked AS (SELECT id, cell, n, place, row_number() OVER (PARTITION BY cell ORDER BY md5(CAST(id AS VARCHAR)), id) AS rank_in_cell FROM placed JOIN sizes USING (cell))
+SELECT id, cell, CAST(rank_in_cell AS INTEGER) AS rank_in_cell FROM ranked ORDER BY ranked.rank_in_cell, place, n DESC, cell LIMIT (SELECT k FROM asked)
 """
 
 NEAREST = f"""
