@@ -62,6 +62,31 @@ def test_recall_with_partitions_and_blocks(spark, monkeypatch):
     assert np.mean([len(got[i] & set(want[i])) / nb.K for i in want]) >= 0.95
 
 
+def test_recall_with_two_levels(spark, monkeypatch):
+    for name, value in (("ONE_LEVEL", 1_000), ("PER_PARTITION", 100), ("MOST_PARTITIONS", 16), ("SAMPLE", 1_000), ("PER_LEAF", 16)):
+        monkeypatch.setattr(nb, name, value)
+    x = clustered(3_000, 5)
+    got = {}
+    for r in nb.nearest(frame(spark, enumerate(x))).collect():
+        got.setdefault(r.id, set()).add(r.neighbour)
+    want = exact(x, list(range(3_000)))
+    assert all(len(v) == nb.K for v in got.values()) and len(got) == 3_000
+    assert np.mean([len(got[i] & set(want[i])) / nb.K for i in want]) >= 0.9
+
+
+def test_leaves_of_a_tree():
+    """The leaves found are those of the greatest product of both levels' probabilities; places without one repeat the best."""
+    x = nb.unit(clustered(400, 1))
+    root = nb.fit(x, 4)
+    tree = nb.Tree(root, {p: nb.fit(x, 3, p) if p else None for p in range(4)})
+    found = tree.best(x[:50], 5)
+    for v, leaves in zip(x[:50], found):
+        chance = {p * nb.MOST_PARTITIONS + c: s * i for p, s in enumerate(root.shares(v[None])[0]) for c, i in enumerate(tree.under[p].shares(v[None])[0] if tree.under[p] else [1.0])}
+        assert leaves.tolist() == sorted(chance, key=lambda leaf: (-chance[leaf], leaf))[:5]
+    few = nb.Tree(root, {}).best(x[:5], 6)
+    assert (few[:, 4:] == few[:, :1]).all() and len(np.unique(few[0])) == 4
+
+
 def test_partition_is_balanced():
     x = nb.unit(clustered(1_000, 2))
     label = nb.balanced_partition(x, nb.neighbour_graph(x, 10), 8, np.random.default_rng(1))

@@ -7,6 +7,12 @@ over the partitions (after Dong et al., 2020). Then every vector is stored in it
 most probable partition and searches the PROBES most probable ones, exactly and
 in double precision.
 
+One level of partitions serves up to ONE_LEVEL vectors. Beyond, each partition is
+partitioned again in the same way, fitted on a bounded sample of its own vectors, so
+that a leaf holds about PER_PARTITION vectors at any number up to MOST_PARTITIONS
+squared times that (some hundred million); a search then takes the leaves that are most
+probable by both levels together. What is shuffled a vector does not grow with their number.
+
 Copies of one vector are collapsed before the search and expanded after it. A
 partition is stored in blocks of at most BLOCK vectors and its queries are split
 likewise, so no task holds more than one block and one part of the queries,
@@ -16,6 +22,7 @@ however large a partition is.
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +39,10 @@ SIZE = 64
 SAMPLE = 8_192
 #: Vectors a partition holds on average, and the most partitions: of each the sample has 32 vectors.
 PER_PARTITION, MOST_PARTITIONS = 1_500, SAMPLE // 32
-PROBES = 4
+#: Vectors up to which one level is enough, those of one partition that the second level is fitted on, at most, and of each leaf.
+ONE_LEVEL, LEAF_SAMPLE, PER_LEAF = 300_000, 8_192, 64
+#: Leaves that are searched, with one level and with two, and partitions that the leaves are looked for in.
+PROBES, PROBES_TWICE, REACHED = 4, 8, 4
 BLOCK, QUERIES = 4_096, 8_192
 GRAPH, SLACK, HIDDEN, EPOCHS = 10, 1.15, 64, 40
 
@@ -112,15 +122,49 @@ class Router:
                     second[i] = 0.999 * second[i] + 0.001 * g * g
                     self.w[i] = self.w[i] - rate * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-8)
 
+    @classmethod
+    def of(cls, weights: list[np.ndarray]) -> Router:
+        made = cls.__new__(cls)
+        made.w = weights
+        return made
+
     @staticmethod
     def _softmax(z: np.ndarray) -> np.ndarray:
         e = np.exp(z - z.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
+    def shares(self, x: np.ndarray) -> np.ndarray:
+        """The probability of each partition for each row."""
+        return self._softmax(np.maximum(x @ self.w[0] + self.w[1], 0) @ self.w[2] + self.w[3])
+
     def best(self, x: np.ndarray, n: int) -> np.ndarray:
         """The `n` most probable partitions of each row, best first."""
-        z = np.maximum(x @ self.w[0] + self.w[1], 0) @ self.w[2] + self.w[3]
-        return np.argsort(-z, axis=1, kind="stable")[:, :n]
+        return np.argsort(-self.shares(x), axis=1, kind="stable")[:, :n]
+
+
+class Tree:
+    """A router to partitions and, of each partition, one to its leaves; None for a partition that is one leaf."""
+
+    def __init__(self, root: Router, under: dict[int, Router | None]):
+        self.root, self.under = root, under
+
+    def best(self, x: np.ndarray, n: int) -> np.ndarray:
+        """The `n` most probable leaves of each row, best first; a leaf is numbered partition * MOST_PARTITIONS + its own number."""
+        shares = self.root.shares(x)
+        near = np.argsort(-shares, axis=1, kind="stable")[:, :REACHED]
+        leaf, chance = np.zeros((len(x), near.shape[1], n), np.int64), np.full((len(x), near.shape[1], n), -1.0)
+        for p in np.unique(near).tolist():
+            row, at = np.nonzero(near == p)
+            router = self.under.get(p)
+            inside = router.shares(x[row]) if router else np.ones((len(row), 1))
+            first = np.argsort(-inside, axis=1, kind="stable")[:, :n]
+            leaf[row, at, : first.shape[1]] = p * MOST_PARTITIONS + first
+            chance[row, at, : first.shape[1]] = np.take_along_axis(inside, first, axis=1) * shares[row, p][:, None]
+        leaf, chance = leaf.reshape(len(x), -1), chance.reshape(len(x), -1)
+        # With fewer leaves than n, places without one repeat the best leaf.
+        order = np.argsort(-chance, axis=1, kind="stable")[:, :n]
+        found = np.take_along_axis(leaf, order, axis=1)
+        return np.where(np.take_along_axis(chance, order, axis=1) < 0, found[:, :1], found)
 
 
 def fit(sample: np.ndarray, parts: int, seed: int = 7) -> Router | None:
@@ -140,7 +184,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(len(column), -1)
 
 
-def _route(router: Router | None, probes: int):
+def _route(router: Router | Tree | None, probes: int):
     """key, vector to key, vector and the partitions to search, best first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,6 +199,31 @@ def _route(router: Router | None, probes: int):
     return run
 
 
+def _fit_leaves(leaves: int):
+    """Samples of one partition to the pickled weights of the router to its leaves; none where the partition is one leaf."""
+
+    def run(table: pa.Table) -> pa.Table:
+        part = table.column("part")[0].as_py()
+        x = unit(_matrix(table.column("vector").combine_chunks()))
+        router = fit(x, min(leaves, len(x) // PER_LEAF), 7 + part)
+        weights = [] if router is None else [w.astype(np.float32) for w in router.w]
+        return pa.table({"part": pa.array([part], pa.int32()), "weights": pa.array([pickle.dumps(weights)], pa.binary())})
+
+    return run
+
+
+def _tree(reps: DataFrame, root: Router, leaves: int) -> Tree:
+    """The second level: a router of each partition, fitted on at most LEAF_SAMPLE of its vectors.
+
+    At most MOST_PARTITIONS routers of some 80 kB reach the driver.
+    """
+    routed = reps.mapInArrow(_route(root, 1), "key bigint, vector binary, parts array<int>").select(F.get("parts", F.lit(0)).alias("part"), "key", "vector")
+    order = Window.partitionBy("part").orderBy(F.xxhash64("key", F.lit(5)), "key")
+    sample = routed.withColumn("r", F.row_number().over(order)).where(F.col("r") <= min(LEAF_SAMPLE, leaves * 4 * PER_LEAF)).select("part", "vector")
+    fitted = sample.groupBy("part").applyInArrow(_fit_leaves(leaves), "part int, weights binary").collect()
+    return Tree(root, {row["part"]: Router.of(weights) if (weights := pickle.loads(row["weights"])) else None for row in fitted})
+
+
 def _search(table: pa.Table) -> pa.Table:
     """The best K of one block of stored vectors for one part of the queries."""
     stored = np.array(table.column("stored").to_pylist(), bool)
@@ -178,7 +247,7 @@ def _search(table: pa.Table) -> pa.Table:
     return pa.table({"key": pa.array(columns[0], pa.int64()), "near": pa.array(columns[1], pa.int64()), "similarity": pa.array(columns[2], pa.float64())})
 
 
-def nearest(vectors: DataFrame, probes: int = PROBES) -> DataFrame:
+def nearest(vectors: DataFrame, probes: int | None = None) -> DataFrame:
     """id, neighbour, similarity, place: the K most similar other ids of every valid id.
 
     Cosine in double precision, the lower id first on a tie. Vectors that are
@@ -188,26 +257,31 @@ def nearest(vectors: DataFrame, probes: int = PROBES) -> DataFrame:
     """
     valid = vectors.where(F.col("id").isNotNull() & valid_vector("embedding", SIZE))
     # The key of a vector is its least id; members know their copies by it.
-    keyed = valid.select("id", "embedding", F.xxhash64("embedding").alias("copy")).dropDuplicates(["id"])
+    keyed = valid.select("id", "embedding", F.struct(F.xxhash64("embedding"), F.xxhash64(F.lit(1), "embedding")).alias("copy")).dropDuplicates(["id"])
     copies = keyed.groupBy("copy").agg(F.min("id").alias("key"), F.first("embedding").alias("embedding"), F.count("*").alias("copies"))
     reps = cut(copies)
     members = keyed.select("id", "copy").join(reps.select("copy", "key", "copies"), "copy").select("id", "key", "copies")
 
     n = reps.count()
-    parts = max(1, min(MOST_PARTITIONS, n // PER_PARTITION))
+    leaves = max(1, n // PER_PARTITION)
+    twice = n > ONE_LEVEL
+    parts = min(MOST_PARTITIONS, math.ceil(math.sqrt(leaves)) if twice else leaves)
+    probes = probes or (PROBES_TWICE if twice else PROBES)
     router = None
     if parts > 1:
         sample = reps.select("embedding").orderBy(F.xxhash64("key", F.lit(3)), "key").limit(SAMPLE).toPandas()
         router = fit(unit(np.stack(sample["embedding"].to_numpy())), parts)
+        if twice:
+            router = _tree(reps.select("key", "embedding"), router, min(MOST_PARTITIONS, math.ceil(leaves / parts)))
     routed = cut(reps.select("key", "embedding").mapInArrow(_route(router, probes), "key bigint, vector binary, parts array<int>"))
 
     held = routed.groupBy(F.get("parts", F.lit(0)).alias("part")).agg(F.count("*").alias("held"))
-    asking = routed.select(F.explode("parts").alias("part")).groupBy("part").agg(F.count("*").alias("asking"))
+    asking = routed.select(F.explode(F.array_distinct("parts")).alias("part")).groupBy("part").agg(F.count("*").alias("asking"))
     shape = asking.join(held, "part").select("part", F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("asking") / QUERIES).cast("int").alias("splits"))
-    shape = F.broadcast(shape)  # at most MOST_PARTITIONS rows
+    shape = F.broadcast(shape)  # at most MOST_PARTITIONS squared rows
     stored = routed.select(F.get("parts", F.lit(0)).alias("part"), "key", "vector").join(shape, "part")
     stored = stored.select("part", F.pmod(F.xxhash64("key"), "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("split"), F.lit(True).alias("stored"), "key", "vector")
-    asked = routed.select(F.explode("parts").alias("part"), "key", "vector").join(shape, "part")
+    asked = routed.select(F.explode(F.array_distinct("parts")).alias("part"), "key", "vector").join(shape, "part")
     asked = asked.select("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("key"), "splits").cast("int").alias("split"), F.lit(False).alias("stored"), "key", "vector")
     found = stored.unionByName(asked).groupBy("part", "block", "split").applyInArrow(_search, "key bigint, near bigint, similarity double")
     order = Window.partitionBy("key").orderBy(F.desc("similarity"), "near")
