@@ -135,11 +135,9 @@ BEYOND_LATIN = re.compile(r"[^\W\d_\u0000-\u024f]")
 
 #: A token that holds a digit, without the punctuation that closes it.
 NUMBER = re.compile(r"(?<!\S)[^\s\d]*\d\S*?(?=[.,;:!?)”\"»]*(?:\s|$))")
-STOPPED = re.compile(r"\b([^\W\d_]+)[)”\"»’]*[.!](?=\s|$)")
-PAUSED = re.compile(r"\b([^\W\d_]+)[)”\"»’]*[.!?,;:…](?=\s|$)")
-BEFORE_NUMBER = re.compile(r"\b([^\W\d_]+)\s+0(?!\w)")
-BEFORE_NUMBER_STOPPED = re.compile(r"\b([^\W\d_]+)\s+0[)”\"»’]*[.!](?=\s|$)")
-BEFORE_NUMBER_PAUSED = re.compile(r"\b([^\W\d_]+)\s+0[)”\"»’]*[.!?,;:…](?=\s|$)")
+PUNCTUATION = frozenset(".!?,;:…")
+CLOSED = re.compile(r"([^\W\d_]+)[)”\"»’]*([.!?,;:…])$")
+BEFORE_NUMBER = re.compile(r"\b([^\W\d_]+)\s+0(?!\w)(?:[)”\"»’]*([.!?,;:…])(?=\s|$))?")
 OPEN_END = re.compile(r"(?:(?:^|\n)\s*(?:\d+[.)]|[-*•–])|[^\W\d_]-|[,(\[{„«])\s*$")
 CLOSING = {")": "(", "]": "[", "}": "{", "”": "“", "»": "«", "“": "„"}
 DELIMITERS = re.compile(r"```|(?<![:;=8])[(\[{]|[)\]}“”„«»]|(?<!\d)\"")
@@ -169,6 +167,11 @@ def last_key(text: str) -> str | None:
     return letters[-1] if letters and token.endswith(letters[-1]) else None
 
 
+def closed_words(text: str) -> list[tuple[str, str]]:
+    """The words of `text` that punctuation follows, with the sign that ends the token."""
+    return [(m[1], m[2]) for token in text.split() if token[-1] in PUNCTUATION and (m := CLOSED.search(token))]
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         seen, stopped, paused, bare = Counter(), Counter(), Counter(), Counter()
@@ -176,17 +179,19 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for text in users or []:
                 if text:
                     seen.update(LETTERS.findall(text))
-                    paused.update(PAUSED.findall(text))
+                    paused.update(word for word, _ in closed_words(text))
             for text in answers or []:
                 if not text:
                     continue
                 flat = NUMBER.sub("0", text)
                 seen.update(LETTERS.findall(flat))
-                seen.update(f"{w.lower()} 0" for w in BEFORE_NUMBER.findall(flat))
-                stopped.update(STOPPED.findall(flat))
-                stopped.update(f"{w.lower()} 0" for w in BEFORE_NUMBER_STOPPED.findall(flat))
-                paused.update(PAUSED.findall(flat))
-                paused.update(f"{w.lower()} 0" for w in BEFORE_NUMBER_PAUSED.findall(flat))
+                closed = closed_words(flat)
+                if " 0" in flat:
+                    before = [(f"{word.lower()} 0", sign) for word, sign in BEFORE_NUMBER.findall(flat)]
+                    seen.update(word for word, _ in before)
+                    closed += [x for x in before if x[1]]
+                paused.update(word for word, _ in closed)
+                stopped.update(word for word, sign in closed if sign in ".!")
                 if key := last_key(text):
                     bare[key] += 1
         keys = list(seen.keys() | bare.keys())
@@ -361,7 +366,7 @@ def pair_defects(docs: DataFrame) -> DataFrame:
     """row_id, turn_idx, defect: every triggered defect type of every pair."""
     pairs = docs.where("row_id is not null").select("row_id", F.col("texts.user").alias("user"), F.col("texts.assistant").alias("assistant"), F.transform("texts", lambda t: t.isNotNull()).alias("present"))
     pairs = spread(pairs)
-    judged = pairs.mapInArrow(_judge, "row_id bigint, turn_idx int, defects array<string>, ending string, short boolean")
+    judged = cut(pairs.mapInArrow(_judge, "row_id bigint, turn_idx int, defects array<string>, ending string, short boolean"))
     shown = judged.select("row_id", "turn_idx", F.explode("defects").alias("defect"))
     ends = cut(cut_endings(ending_counts(pairs.select("user", "assistant"))))
     asked = judged.where("ending is not null").select("row_id", "turn_idx", "ending", "short")
