@@ -108,7 +108,10 @@ def by_hand(x, classes, k):
     order = sorted(range(len(x)), key=h.__getitem__)
     sample = [(h[i], u[i]) for i in order[: vs.SAMPLE]]
     anchors = [v for _, _, v in sorted(((likest_before(v, g, sample), g, v) for g, v in sample), key=lambda t: t[:2])[: min(k, vs.ANCHORS)]]
-    near = {i: sorted(range(len(anchors)), key=lambda a: (-(u[i] @ anchors[a]), a))[: vs.REACH] for i in order}
+    nearest = lambda v, of: sorted(of, key=lambda a: (-(v @ anchors[a]), a))
+    heads = range(min(vs.GATHERERS, len(anchors)))
+    head = [nearest(v, heads)[0] for v in anchors]
+    near = {i: nearest(u[i], [a for a in range(len(anchors)) if head[a] in nearest(u[i], heads)[: vs.OPENED]])[: vs.REACH] for i in order}
     held = {a: [i for i in order if near[i][0] == a][: vs.HELD] for a in range(len(anchors))}
     likest = sorted((likest_before(u[i], h[i], [(h[j], u[j]) for b in near[i] for j in held[b]]), h[i], i) for a in held for i in held[a])
     leaders = {i for *_, i in likest[:k]}
@@ -128,9 +131,9 @@ def by_hand(x, classes, k):
     return {r[-1] for r in sorted(ranked)[:k]}
 
 
-@pytest.mark.parametrize("bounds", [None, (150, 12, 8, 2)])
+@pytest.mark.parametrize("bounds", [None, (150, 12, 8, 2, 4, 2)])
 def test_varied_subset_equals_the_definition(spark, monkeypatch, bounds):
-    for name, value in zip(("SAMPLE", "ANCHORS", "HELD", "REACH"), bounds or ()):
+    for name, value in zip(("SAMPLE", "ANCHORS", "HELD", "REACH", "GATHERERS", "OPENED"), bounds or ()):
         monkeypatch.setattr(vs, name, value)
     x = clustered(500, 7, 30)
     x[:180] = x[0] + 0.001 * x[:180]

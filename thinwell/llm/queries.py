@@ -64,7 +64,9 @@ unit AS (SELECT id, md5(CAST(id AS VARCHAR)) AS h, list_transform(e, lambda x: x
 sample AS (SELECT h, v FROM unit ORDER BY h LIMIT 2048),
 judged AS (SELECT b.h, any_value(b.v) AS v, coalesce(round(max(list_dot_product(a.v, b.v)), 9), -2) AS m FROM sample b LEFT JOIN sample a ON a.h < b.h GROUP BY b.h),
 anchors AS (SELECT v, row_number() OVER (ORDER BY m, h) AS anchor FROM judged QUALIFY anchor <= least(256, (SELECT k FROM asked))),
-near AS (SELECT id, h, u.v, anchor, row_number() OVER (PARTITION BY id ORDER BY list_dot_product(a.v, u.v) DESC, anchor) AS place FROM unit u, anchors a QUALIFY place <= 3),
+gathered AS (SELECT a.anchor, a.v, g.anchor AS head FROM anchors a, anchors g WHERE g.anchor <= 16 QUALIFY row_number() OVER (PARTITION BY a.anchor ORDER BY list_dot_product(g.v, a.v) DESC, g.anchor) = 1),
+opened AS (SELECT id, h, u.v, anchor AS head FROM unit u, anchors a WHERE anchor <= 16 QUALIFY row_number() OVER (PARTITION BY id ORDER BY list_dot_product(a.v, u.v) DESC, anchor) <= 4),
+near AS (SELECT id, h, o.v, anchor, row_number() OVER (PARTITION BY id ORDER BY list_dot_product(g.v, o.v) DESC, anchor) AS place FROM opened o JOIN gathered g USING (head) QUALIFY place <= 3),
 held AS (SELECT id, h, v, anchor FROM near WHERE place = 1 QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY h) <= 64),
 likest AS (SELECT c.id, any_value(c.h) AS h, coalesce(round(max(list_dot_product(o.v, c.v)), 9), -2) AS m FROM held c JOIN near n ON n.id = c.id LEFT JOIN held o ON o.anchor = n.anchor AND o.h < c.h GROUP BY c.id),
 leaders AS (SELECT id AS leader, h, v, anchor FROM held WHERE id IN (SELECT id FROM likest ORDER BY m, h LIMIT (SELECT k FROM asked))),
