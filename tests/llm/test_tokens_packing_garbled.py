@@ -149,3 +149,44 @@ def test_frequent_garbling_is_found(spark, name):
     assert set(got) == set(range(len(clean), len(clean) + len(bad)))
     if name == "latin1":
         assert got[len(clean)].text == WORDS["fr"]
+
+
+def misread(text, encoding):
+    """UTF-8 read in a single-byte encoding; bytes that it leaves out stay as control characters."""
+    return "".join(bytes([b]).decode(encoding, "ignore") or chr(b) for b in text.encode())
+
+
+@pytest.mark.parametrize("share", [0.03, 0.1, 0.25])
+def test_garbling_of_a_share_of_a_corpus(spark, share):
+    """However many texts of a corpus are garbled, nearly all are found and restored whole, and no other is touched."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    clean = {r.doc_id: r.text for r in rows if r.text}
+    for r in gb.repair_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
+        clean.pop(r.doc_id)
+    accented = sorted(i for i, t in clean.items() if any("à" <= c <= "ü" or "а" <= c <= "я" for c in t))
+    bad = random.Random(1).sample(accented, int(share * len(clean)))
+    docs = spark.createDataFrame([(i, misread(t, "cp1252") if i in set(bad) else t) for i, t in clean.items()], "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in gb.repair_documents(docs).collect()}
+    assert not set(got) - set(bad) and len(got) >= 0.98 * len(bad)
+    assert sum(got.get(i) == clean[i] for i in bad) >= 0.9 * len(bad)
+
+
+def test_mutual_information_within_a_script(spark):
+    """A pair of letters that never meet is improbable in its script, however rare the script is in the corpus."""
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(corpus() * 3)], "doc_id bigint, text string").distinct()
+    found = {r.pair: r.n for r in gb.count_pairs(docs).collect()}
+    pairs = {p: n for p, n in found.items() if p >= 0}
+    totals = {k: found[k] for k in (gb.ALL, gb.LATIN, gb.CYRILLIC)}
+    helper = gb.Repair(np.array(list(pairs)), np.array(list(pairs.values())), totals, {gb.CHARACTER - p: n for p, n in found.items() if p <= gb.CHARACTER})
+    assert helper.weigh("ра")[1] < 0 < helper.weigh("ьы")[1] and helper.weigh("ра")[0] < helper.weigh("ьы")[0]
+    assert helper.weigh("аЯ")[1] > 0 and helper.weigh("РА") == helper.weigh("ра")
+    assert all(n > 0 for n in totals.values()) and totals[gb.CYRILLIC] < totals[gb.LATIN] < totals[gb.ALL]
+
+
+def test_swapped_cyrillic_encodings(spark):
+    """Russian read in another single-byte encoding is found; a swap that restores one run helps the others of its text."""
+    docs = [(i, t) for i, t in enumerate(corpus())]
+    text = f"{WORDS['ru']} {WORDS['ru'].upper()} 12 €"
+    bad = [(1000, text.encode("cp1251").decode("cp1252", "replace")), (1001, WORDS["ru"].encode("cp866").decode("cp1251", "replace")), (1002, misread(WORDS["ru"], "cp1251"))]
+    got = {r.doc_id: r.text for r in gb.repair_documents(spark.createDataFrame(docs + bad, "doc_id bigint, text string")).collect()}
+    assert set(got) == {1000, 1001, 1002} and got[1002] == WORDS["ru"] and WORDS["ru"] in got[1000]
