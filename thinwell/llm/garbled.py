@@ -67,6 +67,19 @@ REMEMBERED = 200_000
 ACCENTED = "äöüßéèêëàâçôîïûùñáíóúãõìòåøæœ"
 
 
+#: The pairs of `strange` as a pattern, for short texts.
+_LATIN, _CYRILLIC, _GREEK = "A-Za-zÀ-ÖØ-öø-\u024f", "\u0400-\u052f", "\u0370-\u03ff"
+STRANGE = re.compile(rf"(?=[{_LATIN}][{_CYRILLIC}{_GREEK}]|[{_CYRILLIC}{_GREEK}][{_LATIN}]|[{_CYRILLIC}][{_GREEK}]|[{_GREEK}][{_CYRILLIC}]|[a-z\u0430-\u045f][À-ÖØ-Þ\u0400-\u042f])")
+PIECES = re.compile(r"([^\x00-\x7f]+)")
+
+
+class _Bytes(dict):
+    """For str.translate: each character as the character of its byte, 0 where the encoding has none."""
+
+    def __missing__(self, point: int) -> str:
+        return "\0"
+
+
 def _bytes_of(encoding: str) -> dict[str, int]:
     """Byte of each character; bytes that the encoding leaves out stand for the control characters of their number."""
     table: dict[str, int] = {}
@@ -115,8 +128,7 @@ def strange(a, b):
 
 def strangers(text: str) -> int:
     """The number of strange pairs in `text`."""
-    points = _points(text)
-    return int(strange(points[:-1], points[1:]).sum())
+    return len(STRANGE.findall(text))
 
 
 def folded(x):
@@ -193,7 +205,7 @@ class Repair:
         all_ = np.select([of == LATIN, of == CYRILLIC], [self.totals[LATIN], self.totals[CYRILLIC]], self.totals[ALL])
         self.bits = dict(zip(pairs.tolist(), np.log2(np.maximum(all_ / np.maximum(counts, 1), 1)).tolist()))
         self.characters = characters
-        self.reads = [(read, _bytes_of(read)) for read in READ_AS]
+        self.reads = [_Bytes({ord(c): chr(b) for c, b in _bytes_of(read).items()}) for read in READ_AS]
         self.swaps = [_swap(read, true) for read, true in CONFUSED]
         self.known: dict[str, tuple[str | None, int]] = {}
         self.seen: dict[str, tuple[float, float, float]] = {}
@@ -262,21 +274,21 @@ class Repair:
         close()
         return [(a, b) for a, b in out]
 
-    def _utf8(self, run: str, table: dict[str, int]) -> str | None:
+    def _utf8(self, run: str, table: _Bytes) -> str | None:
         """`run` with the sequences that are UTF-8 in its bytes decoded; None where there are none."""
-        out, changed = [], False
-        for piece in re.split(r"([^\x00-\x7f]+)", run):
-            if not piece or piece[0] <= "\x7f":
-                out.append(piece)
-                continue
-            data = bytes(table.get(c, 0) for c in piece)
+        pieces = PIECES.split(run)
+        data = [piece.translate(table).encode("latin-1") for piece in pieces[1::2]]
+        if not any(map(UTF8.search, data)):
+            return None
+        out = []
+        for i, piece in enumerate(pieces):
             at = 0
-            for found in UTF8.finditer(data):
+            for found in UTF8.finditer(data[i // 2]) if i % 2 else ():
                 out.append(piece[at : found.start()])
                 out.append(found[0].decode("utf-8"))
-                at, changed = found.end(), True
+                at = found.end()
             out.append(piece[at:])
-        return "".join(out) if changed else None
+        return "".join(out)
 
     def _placed(self, run: str, made: str, true: str) -> bool:
         """Whether swapped letters stand where letters of their script do: Cyrillic ones at least WORD
@@ -307,7 +319,7 @@ class Repair:
     def _restore(self, run: str) -> tuple[str | None, int]:
         before, mean = self.total(run)
         best, gain, by = None, 0.0, -1
-        for _, table in self.reads if TWO.search(run) else ():
+        for table in self.reads if TWO.search(run) else ():
             made = self._utf8(run, table)
             for _ in range(3):
                 if made is None:
@@ -315,13 +327,17 @@ class Repair:
                 after, now = self.total(made)
                 if before - after > gain and before - after >= GAIN and now <= mean:
                     best, gain = made, before - after
-                again = [m for _, t in self.reads if (m := self._utf8(made, t))]
+                again = [m for t in self.reads if (m := self._utf8(made, t))]
                 made = min(again, key=lambda m: self.total(m)[0], default=None)
+        tried, odd = {(run, true) for _, true in CONFUSED}, strangers(run)
         for number, ((_, true), swap) in enumerate(zip(CONFUSED, self.swaps)):
             made = run.translate(swap)
-            changed = sum(a != b for a, b in zip(run, made))
-            if not changed or strangers(made) > strangers(run):
+            if (made, true) in tried:
                 continue
+            tried.add((made, true))
+            if strangers(made) > odd:
+                continue
+            changed = sum(a != b for a, b in zip(run, made))
             g = before - self.total(made)[0]
             if g > gain and g >= max(GAIN, GAIN_EACH * changed) and self._placed(run, made, true):
                 best, gain, by = made, g, number
@@ -329,7 +345,7 @@ class Repair:
 
     def lost(self, text: str) -> bool:
         """Whether a question mark stands inside a word where an accented letter is usual."""
-        for word in LOST.finditer(text):
+        for word in LOST.finditer(text) if "?" in text else ():
             w = word[1]
             for i in range(1, len(w) - 1):
                 if w[i] == "?" and min((max(self.information(w[i - 1], c), self.information(c, w[i + 1])) for c in ACCENTED)) < 2 * RARE + 4:
