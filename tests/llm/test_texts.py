@@ -147,8 +147,8 @@ def test_leaks(spark):
     ]
     docs = spark.createDataFrame(rows, "row_id bigint, texts array<struct<user: string, assistant: string, source: string>>")
     assert sorted(tuple(r) for r in lk.whole_leaks(docs, samples).collect()) == [(1, "e1"), (3, "e1"), (7, "e2")]
-    near = {(r.row_id, r.sample_id): r.edits for r in lk.leaks(lk.turn_texts(docs), samples).collect()}
-    assert near[4, "e1"] == 1 and near[1, "e1"] == 0
+    near = {(r.row_id, r.sample_id): (r.words, r.edits) for r in lk.leaks(lk.turn_texts(docs), samples).collect()}
+    assert near[1, "e1"] == (10, None) and near[3, "e1"] == (10, 0) and near[7, "e2"] == (10, 0)
     assert lk.whole_leaks(docs.limit(0), samples).count() == lk.whole_leaks(docs, samples.limit(0)).count() == 0
 
 
@@ -156,24 +156,58 @@ def test_leaks_in_blocks(spark, monkeypatch):
     docs = spark.createDataFrame([(i, [question(15, f"s{i}")]) for i in range(6)], "row_id bigint, texts array<string>")
     samples = spark.createDataFrame([(f"e{i}", question(15, f"s{i}")) for i in range(6)], "id string, question string")
     monkeypatch.setattr(lk, "BLOCK", 10)
-    assert sorted((r.row_id, r.sample_id) for r in lk.leaks(docs, samples).where("edits = 0").collect()) == [(i, f"e{i}") for i in range(6)]
-
-
-def test_recall_of_edited_windows():
-    """Windows with one word replaced share a key far more often than not; equal windows always do."""
-    rng = np.random.default_rng(2)
-    words = rng.integers(1, 2**63, (400, lk.WINDOW)).astype(np.uint64)
-    edited = words.copy()
-    edited[np.arange(400), rng.integers(0, lk.WINDOW, 400)] = rng.integers(1, 2**63, 400).astype(np.uint64)
-    starts = np.arange(400) * lk.WINDOW
-    a, b, c = (lk.window_keys(w.ravel(), starts) for w in (words, words.copy(), edited))
-    assert (a == b).all() and (a == c).any(axis=0).mean() >= 0.9
+    assert sorted((r.row_id, r.sample_id) for r in lk.leaks(docs, samples).where("edits = 0 and words = 10").collect()) == [(i, f"e{i}") for i in range(6)]
+
+
+def edited(words, how, rng):
+    words = words.copy()
+    at = rng.randrange(len(words))
+    if how == "deleted":
+        del words[at]
+    elif how == "inserted":
+        words.insert(at, "new")
+    else:
+        for i in rng.sample(range(len(words)), 2 if how == "two replaced" else 1):
+            words[i] = f"other{i}"
+    return words
+
+
+@pytest.mark.parametrize("how", ["replaced", "deleted", "inserted", "two replaced"])
+@pytest.mark.parametrize("length", [7, 10, 14, 30])
+def test_recall_of_edited_items(spark, how, length):
+    """Items of any length with a word or two edited are found inside longer texts, with the number of their edits."""
+    if how == "two replaced" and length < 10:
+        return
+    rng = random.Random(f"{how}{length}")
+    items = [[f"q{i}w{j}" for j in range(length)] for i in range(150)]
+    docs = [(i, ["before it " + " ".join(edited(w, how, rng)) + " and behind it"]) for i, w in enumerate(items)]
+    samples = spark.createDataFrame([(str(i), " ".join(w)) for i, w in enumerate(items)], "id string, question string")
+    found = {r.row_id: r for r in lk.leaks(spark.createDataFrame(docs, "row_id bigint, texts array<string>"), samples).collect()}
+    most = 2 if how == "two replaced" else 1
+    # A single window with two of its ten words replaced is the hardest case.
+    assert len(found) >= (0.8 if (how, length) == ("two replaced", 10) else 0.9) * len(items) and all(r.sample_id == str(i) and r.edits <= most for i, r in found.items())
+
+
+def test_siblings_of_a_pattern_are_told_apart(spark):
+    """Questions of one pattern differ by their own words only: each is found in its own copy, not in its siblings'."""
+    pattern = "in a trial led by {} the tank loses {} litres every day so which other option gives level {}"
+    items = [pattern.format(f"name{i}", 100 + i, 500 + i) for i in range(300)]
+    samples = spark.createDataFrame([(str(i), t) for i, t in enumerate(items)], "id string, question string")
+    texts = [(i, [items[i].replace("every day", "each day")]) for i in range(20)] + [(100 + i, [pattern.format(f"else{i}", 7000 + i, 9000 + i)]) for i in range(20)]
+    got = lk.leaks(spark.createDataFrame(texts, "row_id bigint, texts array<string>"), samples)
+    assert sorted((r.row_id, r.sample_id) for r in got.where("edits is not null").collect()) == sorted((i, str(i)) for i in range(20))
+
+
+def test_short_items(spark):
+    samples = spark.createDataFrame([("a", "where is the north gate"), ("b", "too short item"), ("c", "which of these seven lamps is red")], "id string, question string")
+    docs = spark.createDataFrame([(1, ["I ask: Where is the NORTH gate?"]), (2, ["where is the south gate"]), (3, ["which of these seven lamps was red"]), (4, ["too short item"])], "row_id bigint, texts array<string>")
+    assert sorted(tuple(r) for r in lk.leaks(docs, samples).collect()) == [(1, "a", 5, 0), (3, "c", 0, 1)]
 
 
 def test_plain_words():
     assert lk.plain_words("L'Été — «naïve», ÉTÉ_2!") == ["l", "ete", "naive", "ete", "2"]
     known = WordHashes()
-    assert known["x"] == known["x"] and lk.edits(np.array([1, 2, 3]), np.array([1, 3, 3]), 2) == 1
+    assert known["x"] == known["x"] and lk.fit_edits([1, 2, 3], [9, 1, 3, 3, 9], 2) == 1 and lk.fit_edits([1, 2, 3], [4, 5], 1) == 2
 
 
 SENTENCES = {
