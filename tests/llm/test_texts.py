@@ -128,6 +128,8 @@ def test_split_edges(spark):
     pieces = sp.split_oversized(docs).where("row_id = 2 and field = 'user'").orderBy("piece_idx").collect()
     assert "".join(p.piece[p.shared :] for p in pieces) == "word " * 2000 and all(len(p.piece) <= 1200 for p in pieces)
     assert sp.split_oversized(docs.limit(0)).count() == 0
+    slices = sp.described_pieces(sp.split_oversized(docs)).where("field = 'images'").orderBy("piece_idx").collect()
+    assert [(r.first_image, r.n_images, r.shared) for r in slices] == [(0, 8, 0), (7, 2, 1)] and all(len(r.digest) == 32 for r in slices)
 
 
 def question(n, salt):

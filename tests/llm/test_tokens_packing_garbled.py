@@ -43,6 +43,15 @@ def test_encode_edges(spark):
     assert [list(r.ids) for r in tk.encode_documents(frame(spark, [None, ""])).collect()] == [[], []]
     twice = tk.encode_documents(frame(spark, ["ab"]).unionByName(frame(spark, ["ab"]))).collect()
     assert len(twice) == 2 and twice[0] == twice[1]
+    same = spark.createDataFrame([(7, "ab", 0, 0, 0), (7, "cd ef", 0, 0, 0), (None, "x", 0, 0, 0), (None, None, 0, 0, 0)], DOCS)
+    assert sorted((r.doc_id or 0, r.text) for r in tk.decode_documents(tk.encode_documents(same)).collect()) == [(0, ""), (0, "x"), (7, "ab"), (7, "cd ef")]
+    odd = spark.createDataFrame([(1, [5, 10_000_000, -3]), (2, None), (3, [])], "doc_id bigint, ids array<int>")
+    assert {r.doc_id: len(r.text) for r in tk.decode_documents(odd).collect()} == {1: 1, 2: 0, 3: 0}
+
+
+def test_counts_equal_the_ids(spark):
+    docs = frame(spark, STRANGE)
+    assert {r.doc_id: r.size for r in tk.count_tokens(docs).collect()} == {r.doc_id: len(r.ids) for r in tk.encode_documents(docs).collect()}
 
 
 @given(st.lists(st.integers(1, 12), max_size=14), st.integers(12, 20))
@@ -67,6 +76,19 @@ def test_plan_packs_everything(sizes, capacity):
     assert sum(t for _, t in plan) <= len(bins) + 1
 
 
+@given(st.lists(st.integers(1, 30), min_size=1, max_size=12), st.integers(30, 60))
+@settings(max_examples=150, deadline=None)
+def test_best_filling_wastes_least(sizes, capacity):
+    """Against all subsets: the fullest filling, and of those the one with the largest items."""
+    counts, largest = np.bincount(sizes, minlength=capacity + 1), max(sizes)
+    rest = sorted(sizes, reverse=True)[1:]
+    subsets = {()}
+    for s in rest:
+        subsets |= {(*x, s) for x in subsets if largest + sum(x) + s <= capacity}
+    full = max(map(sum, subsets))
+    assert pk.best_filling(counts, largest, capacity) == [largest, *max(x for x in subsets if sum(x) == full)]
+
+
 def test_best_filling_is_exact_on_small_sets():
     counts = np.bincount([9, 6, 5, 3, 3, 2], minlength=16)
     assert sum(pk.best_filling(counts, 9, 15)) == 15

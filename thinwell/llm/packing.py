@@ -2,12 +2,14 @@
 
 Item sizes are whole numbers up to the capacity, so the items of any corpus are a
 histogram of at most `capacity` counts. Bin completion (Korf, 2002) runs on that
-histogram: around the largest item left it searches the fillings that no other
-filling dominates, depth first and largest sizes first, with the best-fit filling
-as first incumbent and branches pruned once they cannot waste less; a filling is
-then used as often as the counts allow. The result is a plan of at most some
-thousand fillings. Items find their container by their rank among the items of
-their size; only counts ever leave the executors.
+histogram: around the largest item left it looks for the fillings that no other filling
+dominates, depth first and largest sizes first, with the best-fit filling as first incumbent. A
+branch is pruned by its exact waste bound, the fullest sum that the sizes left can still
+make, so the search never leaves a branch that it has entered and needs no limit. What it
+finds wastes least, and of such fillings has the largest items: a filling that dominated it
+would waste as little with larger items. A filling is then used as often as the counts
+allow. The result is a plan of at most some thousand fillings. Items find their
+container by their rank among the items of their size; only counts ever leave the executors.
 """
 
 from __future__ import annotations
@@ -19,61 +21,50 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from thinwell.llm.tokens import encode_documents
+from thinwell.llm.tokens import count_tokens
 from thinwell.sources.session import cut
 
 CAPACITY = 1_024
-#: Branches that one search may visit before its incumbent stands.
-BRANCHES = 3_000
-#: Items of one size and salt that are ranked in one task, on average, and the most salts.
-RANKED, MOST_SALTS = 500_000, 256
+#: Items of one size and salt that are ranked in one task, on average, and rows of the table of ranks up to which it is broadcast.
+RANKED, BROADCAST_SHARES = 500_000, 262_144
 
 
 def best_filling(counts: np.ndarray, largest: int, capacity: int) -> list[int]:
-    """Sizes (descending) that fill a container around one item of size `largest` with the least waste."""
-    rest = capacity - largest
-    sizes = [int(s) for s in np.nonzero(counts[: rest + 1])[0][::-1] if s > 0]
-    left = {s: int(counts[s]) - (s == largest) for s in sizes}
-    sizes = [s for s in sizes if left[s] > 0]
-
-    best: list[int] = []
-    room = rest
-    while fits := next((s for s in sizes if s <= room and left[s] > best.count(s)), 0):
-        best.append(fits)
-        room -= fits
-    least, visited = room, 0
-    if not least:
-        return [largest, *best]
-
-    def search(i: int, room: int, chosen: list[int]) -> bool:
-        """Tries the sizes from the i-th on; True once nothing is wasted or the search is used up."""
-        nonlocal best, least, visited
-        if room < least:
-            best, least = chosen.copy(), room
-            if not room:
-                return True
-        for j in range(i, len(sizes)):
-            s = sizes[j]
-            if s > room:
-                continue
-            # With sizes of at most s, this many items are needed; fewer than one more than the incumbent's waste can't win.
-            have = left[s] - chosen.count(s)
-            if have <= 0:
-                continue
-            visited += 1
-            if visited > BRANCHES:
-                return True
-            chosen.append(s)
-            if search(j, room - s, chosen):
-                return True
-            chosen.pop()
-            # A later, smaller size replaces this one: it is dominated unless it leaves room for more items.
-            if j + 1 < len(sizes) and room - s < sizes[-1] and room - sizes[j + 1] < sizes[-1]:
-                break
-        return False
-
-    search(0, rest, [])
-    return [largest, *best]
+    """Sizes (descending) that fill a container around one item of size `largest` with the least waste; of those the largest ones."""
+    room = capacity - largest
+    sizes = [int(s) for s in np.nonzero(counts[: room + 1])[0][::-1] if s > 0]
+    left = [int(counts[s]) - (s == largest) for s in sizes]
+
+    # The incumbent: best fit, the largest item that still fits, again and again.
+    incumbent, rest = [largest], room
+    for s, n in zip(sizes, left):
+        taken = min(n, rest // s)
+        incumbent += [s] * taken
+        rest -= taken * s
+    if not rest:
+        return incumbent
+
+    # Bounds: bit t of within[i] tells whether items of the sizes from the i-th on can make the sum t.
+    whole = (1 << (room + 1)) - 1
+    within = [1] * (len(sizes) + 1)
+    for i in range(len(sizes) - 1, -1, -1):
+        sums, n, step = within[i + 1], min(left[i], room // sizes[i]), 1
+        while n > 0:
+            taken = min(step, n)
+            sums |= (sums << (taken * sizes[i])) & whole
+            n -= taken
+            step *= 2
+        within[i] = sums
+    todo = within[0].bit_length() - 1
+    if room - todo >= rest:
+        return incumbent
+    filling = [largest]
+    for i, s in enumerate(sizes):
+        # As many of the largest size as leave a sum that the others can make; all other branches are pruned.
+        taken = next(c for c in range(min(left[i], todo // s), -1, -1) if within[i + 1] >> (todo - c * s) & 1)
+        filling += [s] * taken
+        todo -= taken * s
+    return filling
 
 
 def completion_plan(counts: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
@@ -129,9 +120,9 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     parts = items.where("size > 0").select("doc_id", "size", pieces.alias("piece"))
     parts = cut(parts.select("doc_id", "piece", F.least(F.lit(capacity), F.col("size") - F.col("piece") * capacity).cast("int").alias("size")))
     total = parts.count()
-    salts = max(1, min(MOST_SALTS, total // RANKED))
+    salts = max(1, total // RANKED)
     salted = parts.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    # At most capacity * MOST_SALTS rows; the ranks of a salt begin where the salt before it ends.
+    # The ranks of a salt begin where the salt before it ends.
     shares = salted.groupBy("size", "salt").agg(F.count("*").alias("n"))
     shares = cut(shares.select("size", "salt", "n", (F.sum("n").over(Window.partitionBy("size").orderBy("salt")) - F.col("n")).alias("before")))
     counts = np.zeros(capacity + 1, np.int64)
@@ -139,13 +130,13 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         counts[row["size"]] = row["n"]
     plan = completion_plan(counts, capacity)
     ranked = salted.withColumn("r", F.row_number().over(Window.partitionBy("size", "salt").orderBy("doc_id", "piece")))
-    ranked = ranked.join(F.broadcast(shares), ["size", "salt"]).select("doc_id", "piece", "size", (F.col("before") + F.col("r") - 1).alias("rank"))
+    ranked = ranked.join(F.broadcast(shares) if capacity * salts <= BROADCAST_SHARES else shares, ["size", "salt"]).select("doc_id", "piece", "size", (F.col("before") + F.col("r") - 1).alias("rank"))
     return ranked.mapInArrow(_assign(plan), "doc_id bigint, piece int, size int, container bigint")
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """The documents, each as long as its tokens by byte_bpe_50k, in containers."""
-    return pack(encode_documents(docs).select("doc_id", F.size("ids").alias("size")), capacity)
+    return pack(count_tokens(docs), capacity)
 
 
 def container_waste(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -13,7 +13,7 @@ from thinwell.llm.leaks import leaks, turn_texts, whole_leaks
 from thinwell.llm.near_duplicates import near_duplicate_classes, near_duplicate_pairs
 from thinwell.llm.neighbours import nearest, neighbour_pairs
 from thinwell.llm.packing import container_waste, pack_documents
-from thinwell.llm.splitting import oversized_items, split_oversized
+from thinwell.llm.splitting import described_pieces, oversized_items, split_oversized
 from thinwell.llm.tokens import decode_documents, encode_documents
 from thinwell.llm.varied_subset import varied_subset
 from thinwell.sources.tables import table
@@ -37,7 +37,7 @@ def queries() -> dict[str, Query]:
         "p5_found": lambda s, d: wrong_labels(table(s, d, "flat_turns")),
         "p5_stretches": lambda s, d: stretch_languages(table(s, d, "flat_turns")),
         "p6_found": lambda s, d: oversized_items(_source(s, d)),
-        "p6_pieces": lambda s, d: split_oversized(_source(s, d)).drop("images"),
+        "p6_pieces": lambda s, d: described_pieces(split_oversized(_source(s, d))),
         "p7_found": lambda s, d: whole_leaks(_source(s, d), table(s, d, "eval_samples")),
         "p7_leaks": lambda s, d: leaks(turn_texts(_source(s, d)), table(s, d, "eval_samples")),
         "p8_ids": lambda s, d: encode_documents(table(s, d, "documents")),

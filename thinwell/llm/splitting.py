@@ -80,6 +80,13 @@ def split_oversized(docs: DataFrame, limit: int = TEXT_LIMIT, overlap: int = OVE
     return texts.unionByName(lists).dropDuplicates(["row_id", "turn_idx", "field", "piece_idx"])
 
 
+def described_pieces(pieces: DataFrame, limit: int = IMAGE_LIMIT, shared: int = SHARED) -> DataFrame:
+    """The pieces with, in place of `images`, the position of a slice's first image, their number, and a digest of their bytes."""
+    digest = F.md5(F.array_join(F.transform("images", lambda i: F.coalesce(F.md5(i["bytes"]), F.lit("-"))), " "))
+    first = F.when(F.col("images").isNotNull(), F.col("piece_idx") * (limit - shared))
+    return pieces.withColumn("first_image", first).withColumn("n_images", F.when(F.col("images").isNotNull(), F.size("images"))).withColumn("digest", digest).drop("images")
+
+
 def oversized_items(docs: DataFrame) -> DataFrame:
     """row_id, turn_idx, field of the items that come out in more than one piece."""
     return split_oversized(docs).where("piece_idx = 1").select("row_id", "turn_idx", "field")

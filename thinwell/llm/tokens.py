@@ -7,6 +7,9 @@ back to the batches that hold it. A batch then looks its words up by position. S
 what is shuffled per word is (distinct words of a batch), not every occurrence,
 and a word that is in every text costs one row a batch.
 
+Where only the numbers of tokens are wanted, only those travel. Ids are decoded by a
+join with the pieces, by position inside each batch of documents.
+
 Null and empty texts have an empty list. The tokenizer's file is a parameter; it is
 read on the driver and broadcast (1.6 MB, fixed).
 """
@@ -19,6 +22,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,11 +53,12 @@ def _tokenizer(json: str):
     return made
 
 
-def _encode(shared):
+def _encode(shared, counted: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(shared.value)
         for batch in batches:
             found = [e.ids for e in tokenizer.encode_batch(batch.column("word").to_pylist(), add_special_tokens=False)]
+            found = [[len(ids)] for ids in found] if counted else found
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("batches"), pa.array(found, pa.list_(pa.int32()))], ["word", "batches", "ids"])
 
     return run
@@ -79,26 +84,38 @@ def _look_up(docs: pa.Table, table: pa.Table) -> pa.Table:
     return pa.table({"doc_id": docs.column("doc_id"), "ids": pa.ListArray.from_arrays(pa.array(doc_ends, pa.int32()), pa.array(ids, pa.int32()))})
 
 
-def encode_documents(docs: DataFrame, tokenizer: str = f"{TOKENIZERS}/{BYTE_BPE}") -> DataFrame:
-    """doc_id, ids (list of integers) of every document, without special tokens.
-
-    A null doc_id is a document like any other; a row that occurs twice is encoded
-    twice; other columns are ignored.
-    """
+def _encoded(docs: DataFrame, tokenizer: str, counted: bool) -> DataFrame:
+    """doc_id, ids of every document; instead of the ids of each word their number, where `counted`."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(Path(tokenizer).read_text(encoding="utf-8"))
     length = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    split = spread(docs.select("doc_id", "text")).select("doc_id", "text", words(F.col("text")).alias("words"), F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-length // BATCH)))).cast("int").alias("batch"))
+    # By id and text, so that rows without an id are dealt out too.
+    batch = F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-length // BATCH)))).cast("int")
+    split = spread(docs.select("doc_id", "text")).select("doc_id", "text", words(F.col("text")).alias("words"), batch.alias("batch"))
     held = split.select("batch", F.explode(F.array_distinct("words")).alias("word")).distinct()
     # A word's batches in lists of at most LISTED, so that no row grows with the corpus.
     listed = held.groupBy("word", F.floor(F.col("batch") / LISTED)).agg(F.collect_list("batch").alias("batches"))
-    encoded = listed.select("word", "batches").mapInArrow(_encode(shared), "word string, batches array<int>, ids array<int>")
+    encoded = listed.select("word", "batches").mapInArrow(_encode(shared, counted), "word string, batches array<int>, ids array<int>")
     table = encoded.select(F.explode("batches").alias("held_in"), "word", "ids")
     # Lengths of the words travel beside the text: less than half of what the words themselves take.
     cut_texts = split.select("doc_id", "text", F.transform("words", F.length).alias("lengths"), F.col("batch").alias("own"))
     return cut_texts.groupBy("own").cogroup(table.groupBy("held_in")).applyInArrow(_look_up, "doc_id bigint, ids array<int>")
 
 
+def encode_documents(docs: DataFrame, tokenizer: str = f"{TOKENIZERS}/{BYTE_BPE}") -> DataFrame:
+    """doc_id, ids (list of integers) of every document, without special tokens.
+
+    A null doc_id is a document like any other; a row that occurs twice is encoded
+    twice; other columns are ignored.
+    """
+    return _encoded(docs, tokenizer, False)
+
+
+def count_tokens(docs: DataFrame, tokenizer: str = f"{TOKENIZERS}/{BYTE_BPE}") -> DataFrame:
+    """doc_id, size: the number of tokens of every document, as encode_documents gives them; 0 for null and empty texts."""
+    return _encoded(docs, tokenizer, True).select("doc_id", F.aggregate("ids", F.lit(0), lambda s, n: s + n).alias("size"))
+
+
 def _byte_of_sign() -> dict[str, int]:
     """Byte of each sign of a byte-level vocabulary: printable bytes stand for themselves, the rest for 256 and on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -106,21 +123,41 @@ def _byte_of_sign() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def pieces(spark, tokenizer: str = f"{TOKENIZERS}/{BYTE_BPE}") -> DataFrame:
-    """id, piece: the bytes of every id of the vocabulary, as hex digits."""
+def pieces(tokenizer: str = f"{TOKENIZERS}/{BYTE_BPE}") -> pa.Array:
+    """The bytes of every id of the vocabulary, at the id's position; empty for ids that stand for no text."""
     signs = _byte_of_sign()
     vocabulary = _tokenizer(Path(tokenizer).read_text(encoding="utf-8")).get_vocab()
-    rows = [(i, bytes(signs[c] for c in p).hex()) for p, i in vocabulary.items() if all(c in signs for c in p)]
-    return spark.createDataFrame(rows, "id int, piece string")
+    table = [b""] * (max(vocabulary.values(), default=-1) + 1)
+    for piece, i in vocabulary.items():
+        if all(c in signs for c in piece):
+            table[i] = bytes(signs[c] for c in piece)
+    return pa.array(table, pa.binary())
+
+
+def _decode(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.array(shared.value, pa.binary())
+        for batch in batches:
+            ids = batch.column("ids")
+            ends = np.r_[0, np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)]
+            flat = ids.flatten().to_numpy(zero_copy_only=False)
+            known = (flat >= 0) & (flat < len(table))
+            # The join: the pieces of all ids of the batch, end to end; a document is a stretch of their bytes.
+            found = table.take(pa.array(np.where(known, flat, -1), mask=~known)).fill_null(b"")
+            at = np.r_[0, np.cumsum(pc.binary_length(found).to_numpy(zero_copy_only=False), dtype=np.int64)]
+            data = b"".join(found.to_pylist())
+            texts = [data[at[a] : at[b]].decode("utf-8", "replace") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    return run
 
 
 def decode_documents(encoded: DataFrame, tokenizer: str = f"{TOKENIZERS}/{BYTE_BPE}") -> DataFrame:
     """doc_id, text of encoded documents, by a join of every id with its piece.
 
-    The pieces (a fixed vocabulary of some 50,000) are broadcast. An empty list
-    gives an empty text; an id outside the vocabulary raises no error and is left out.
+    The pieces (a fixed vocabulary of some 50,000) are broadcast; nothing is shuffled. An empty
+    or null list gives an empty text; an id outside the vocabulary raises no error and is left out;
+    documents that share a doc_id stay apart.
     """
-    flat = encoded.select("doc_id", F.posexplode("ids").alias("pos", "id")).join(F.broadcast(pieces(encoded.sparkSession, tokenizer)), "id")
-    joined = flat.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "piece"))).alias("parts"))
-    texts = joined.select("doc_id", F.decode(F.unhex(F.array_join(F.col("parts.piece"), "")), "UTF-8").alias("text"))
-    return texts.unionByName(encoded.where(F.size("ids") == 0).select("doc_id", F.lit("").alias("text")))
+    shared = encoded.sparkSession.sparkContext.broadcast(pieces(tokenizer).to_pylist())
+    return encoded.select("doc_id", "ids").mapInArrow(_decode(shared), "doc_id bigint, text string")
