@@ -1,8 +1,12 @@
 import json
 import math
+import struct
+import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from thinwell.functions import images as codecs
 from thinwell.functions.texts import extract_answer, prompt, strip
@@ -170,6 +174,95 @@ def test_collation(spark):
     assert got[1].images == 1 and got[1].input_ids == [7] + [5] * 10 + [3] and got[1].labels[1:] == [5] * 10 + [3] and got[2].input_ids == [7]
 
 
+def spans(ids, marker, end):
+    """Labels by the definition: a marker opens a span up to and with the next end; markers inside spans count not."""
+    labels, open_, free = [-100] * len(ids), False, 0
+    for i, x in enumerate(ids):
+        if not open_ and marker and i - len(marker) >= free and ids[i - len(marker) : i] == marker:
+            open_ = True
+        if open_:
+            labels[i] = x
+            if x == end:
+                open_, free = False, i + 1
+    return labels
+
+
+@given(st.lists(st.lists(st.integers(0, 3), max_size=14), max_size=5), st.lists(st.integers(0, 3), max_size=3))
+@settings(max_examples=300, deadline=None)
+def test_label_masks_of_rows_end_to_end(rows, marker):
+    flat, ends = np.array([x for r in rows for x in r], np.int64), np.cumsum([len(r) for r in rows], dtype=np.int64)
+    assert collation.label_masks(flat, ends, marker, 0).tolist() == [x for r in rows for x in spans(r, marker, 0)]
+
+
+def test_markers_and_null_rows(spark):
+    part = lambda kind: {"type": kind, "text": None}
+    talk = [{"role": "user", "content": [part("image"), part("text"), part("image")]}, {"role": "user", "content": None}, {"role": "user", "content": [part("image"), part("text")]}]
+    kinds = lambda n: [[p["type"] for p in m["content"]] for m in collation.drop_markers(talk, n)]
+    assert kinds(2) == [["image", "text", "image"], [], ["text"]] and kinds(0) == [["text"], [], ["text"]] and kinds(9) == [["image", "text", "image"], [], ["image", "text"]]
+    df = spark.createDataFrame([(1, None), (2, [5, 1, 2]), (3, []), (4, [5])], "id int, input_ids array<bigint>")
+    assert {r.id: r.labels for r in collation.masked_labels(df, [5], 2).collect()} == {1: None, 2: [-100, 1, 2], 3: [], 4: [-100]}
+
+
+def test_colours_and_codecs(spark, tmp_path):
+    x = np.random.default_rng(2).integers(0, 256, (6, 5, 3), dtype=np.uint8)
+    assert (codecs.pixels_of(codecs.encode_png(x)) == x).all() and codecs.decode(codecs.encode_png(x)).shape == (6, 5)
+    assert (codecs.pixels_of(b"P6 5 6 255\n" + x.tobytes()) == x).all()
+
+    def png(depth, colour, rows, palette=b""):
+        lines = b"".join(b"\0" + bytes(r) for r in rows)
+        chunk = lambda kind, d: struct.pack(">I", len(d)) + kind + d + struct.pack(">I", zlib.crc32(kind + d))
+        return codecs.PNG + chunk(b"IHDR", struct.pack(">IIBBBBB", 3, len(rows), depth, colour, 0, 0, 0)) + (chunk(b"PLTE", palette) if palette else b"") + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+    assert codecs.pixels_of(png(1, 0, [[0b10100000]])).tolist() == [[255, 0, 255]]
+    assert codecs.pixels_of(png(16, 0, [[1, 9, 2, 9, 3, 9]])).tolist() == [[1, 2, 3]]
+    assert codecs.pixels_of(png(2, 3, [[0b00011000]], bytes([0, 0, 0, 9, 8, 7, 1, 2, 3]))).tolist() == [[[0, 0, 0], [9, 8, 7], [1, 2, 3]]]
+    assert codecs.pixels_of(png(2, 3, [[0b11000000]], bytes([0, 0, 0, 9, 8, 7]))) is None and codecs.pixels_of(png(4, 2, [[0]])) is None
+    jpeg = lambda data: x if data.startswith(b"\xff\xd8") else 1 / 0
+    assert codecs.pixels_of(b"\xff\xd8..", jpeg) is x and codecs.pixels_of(b"junk", jpeg) is None
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.png").write_bytes(codecs.encode_png(x))
+    rows = [(1, (None, "a/x.png")), (2, (None, str(tmp_path / "a" / "x.png"))), (3, (None, "no.png")), (4, (b"held", "a/x.png")), (5, None)]
+    df = spark.createDataFrame(rows, "id int, image struct<bytes: binary, path: string>")
+    found = {r.id: r.image and r.image.bytes for r in images.with_files(df, "image", str(tmp_path)).collect()}
+    assert (codecs.pixels_of(bytes(found[1])) == x).all() and found[1] == found[2] and found[3] is None and found[4] == b"held" and found[5] is None
+    made = images.normalised(df.where("id = 4").withColumn("image", F.lit(codecs.encode_png(x))), "image", most=3).first()
+    assert codecs.pixels_of(bytes(made.png)).shape == (3, 2, 3)
+
+
+def test_image_columns_of_any_type(spark):
+    df = spark.sql("select cast('ab' as binary) b, 'p' s, struct(cast('c' as binary) bytes) t, 7 n, array('x', null) l, cast(null as binary) z")
+    got = {c: images.with_images(df, c).first()[c] for c in df.columns}
+    assert (bytes(got["b"].bytes), got["b"].path, got["s"].bytes, got["s"].path) == (b"ab", None, None, "p")
+    assert bytes(got["t"].bytes) == b"c" and got["n"] is None and got["z"] is None and [i and i.path for i in got["l"]] == ["x", None]
+
+
+def test_broken_images_are_not_valid(spark):
+    good = codecs.encode_png(np.zeros((4, 4), np.uint8))
+    docs = spark.createDataFrame([(1, [("q", "a", None)], [(good[:40], None), (good, "p")]), (2, [("q", "a", None)], [(good[:40], None)]), (3, [("q", "a", None)], None)], "row_id bigint, texts array<struct<user: string, assistant: string, source: string>>, images array<struct<bytes: binary, path: string>>")
+    assert [(r.row_id, len(r.images), r.images[0].path) for r in training_rows.chat_rows(docs, "row_id").collect()] == [(1, 1, "p")]
+    assert sorted((r.row_id, r.valid, r.unread) for r in images.valid_images(docs, "row_id").collect()) == [(1, 1, 1), (2, 0, 1), (3, 0, 0)]
+    assert training_rows.qa_chunks(docs, "row_id", valid=training_rows.looks_like_image).count() == 2
+
+
+def test_first_delivery_and_shards_keep_rows_exact(spark, tmp_path):
+    rows = [(1, 5, "b"), (1, 5, "a"), (1, 7, "0"), (2, 5, "c"), (2, 5, "c"), (3, 9, "d"), (None, 1, "n"), (None, 1, "n")]
+    df = spark.createDataFrame(rows, "id bigint, at int, v string")
+    got = sorted(((r.id or 0), r.at, r.v) for r in tables.first_delivery(df, ["id"], "at").collect())
+    assert got == [(0, 1, "n"), (0, 1, "n"), (1, 5, "a"), (2, 5, "c"), (3, 9, "d")]
+    assert tables.first_delivery(df.where("id = 3"), ["id"], "at").count() == 1 and tables.first_delivery(df.limit(0), ["id"], "at").count() == 0
+    assert sinks.write_shards(df.select("id", "v"), str(tmp_path / "s"), 3, "id") == 3
+    names = sorted(p.name for p in (tmp_path / "s").glob("train-*"))
+    held = [[r.id for r in spark.read.parquet(str(tmp_path / "s" / n)).collect()] for n in names]
+    assert [len(h) for h in held] == [3, 3, 2] and sorted(x or 0 for h in held for x in h) == [0, 0, 1, 1, 1, 2, 2, 3]
+
+
+def test_scan_predicate_of_selected_ids(spark):
+    source = spark.range(100).withColumnRenamed("id", "key")
+    ids = spark.createDataFrame([(7,), (9,), (7,), (None,)], "id bigint")
+    assert sorted(r.key for r in retrieval.selected_rows(source, ids, "key").collect()) == [7, 9]
+    assert retrieval.selected_rows(source, ids.limit(0), "key").count() == 0
+
+
 def test_images(spark, tmp_path):
     x = np.random.default_rng(1).integers(0, 256, (30, 20), dtype=np.uint8)
     assert (codecs.decode(codecs.encode_png(x)) == x).all()

@@ -32,7 +32,7 @@ def duck():
 
 
 #: Their SQL assumes pools of at least as many rows as are picked, which the smallest tables lack.
-POOLS = {"local_coresets", "coreset_two_stage", "semi_join_selected"}
+POOLS = {"local_coresets", "coreset_two_stage", "coreset_whole_shards", "coreset_incremental", "semi_join_selected"}
 
 
 @pytest.mark.parametrize("name", sorted(queries()))

@@ -59,6 +59,18 @@ def test_distributed_passes_equal_one_task(spark):
     assert selection.greedy_kcenter(pool.limit(0), 3).count() == 0
 
 
+def test_passes_give_many_picks_and_write_distances(spark, monkeypatch):
+    """Ties and copies included, whatever a task offers and however often distances are written."""
+    x = vectors(120, 3)
+    x[60:80] = x[:20]
+    pool = frame(spark, x).repartition(4)
+    one = [(r.id, r.pick, round(r.distance, 9)) for r in selection.greedy_kcenter(pool, 70).collect()]
+    for offered, written in ((64, 256), (2, 5), (1, 1)):
+        monkeypatch.setattr(selection, "OFFERED", offered)
+        monkeypatch.setattr(selection, "WRITTEN_AFTER", written)
+        assert [(r.id, r.pick, round(r.distance, 9)) for r in selection.greedy_kcenter(pool, 70, in_one_task=10).collect()] == one
+
+
 def test_unit_vectors_drop_bad_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [3.0, 4.0]), (1, [3.0, 4.0]), (2, None), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [0.0, 0.0]), (6, [1.0]), (7, [None, 1.0]), (None, [1.0, 0.0])]
@@ -100,9 +112,12 @@ def test_global_merge_raises_without_candidates(spark):
 def test_coverage(spark, monkeypatch):
     x = vectors(30)
     monkeypatch.setattr(selection, "BLOCK", 2)
+    monkeypatch.setattr(selection, "BESIDE", 7)
     pool = frame(spark, x)
     got = {r.id: r.distance for r in selection.coverage(pool, pool.where("id < 5")).collect()}
     assert np.allclose([got[i] for i in range(30)], np.maximum(1 - (x @ x[:5].T).max(axis=1), 0))
+    monkeypatch.setattr(selection, "BLOCK", 20)
+    assert {r.id: r.distance for r in selection.coverage(pool, pool.where("id < 5")).collect()} == pytest.approx(got)
     assert selection.coverage(pool, pool.limit(0)).count() == 0
 
 

@@ -3,41 +3,83 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 IGNORED = -100
 
 
-def label_mask(ids: list[int], marker: list[int], end: int) -> list[int]:
-    """Labels of a row: -100, but after each `marker` the ids up to and with the next `end`, or to the row's end.
-
-    An empty marker masks everything.
+def _openings(flat: np.ndarray, ends: np.ndarray, marker: list[int], end: int) -> np.ndarray:
+    """Positions just behind each `marker` that opens a span, in rows that lie end to end; none behind the last id of a row."""
+    width = len(marker)
+    if not width or len(flat) < width:
+        return np.zeros(0, np.int64)
+    found = np.lib.stride_tricks.sliding_window_view(flat, width) == np.array(marker)
+    at = np.nonzero(found.all(axis=1))[0]
+    row_end = ends[np.searchsorted(ends, at, "right")]
+    at, row_end = at[at + width < row_end], row_end[at + width < row_end]
+    if end not in marker:
+        return at + width
+    # Only a marker that holds the end can begin inside a span and outlast it: it opens nothing.
+    closes = np.r_[np.nonzero(flat == end)[0], len(flat)]
+    last = np.minimum(closes[np.searchsorted(closes, at + width)], row_end - 1)
+    kept, free = [], 0
+    for start, close in zip(at.tolist(), last.tolist()):
+        if start >= free:
+            kept.append(start + width)
+            free = close + 1
+    return np.array(kept, np.int64)
+
+
+def label_masks(flat: np.ndarray, ends: np.ndarray, marker: list[int], end: int) -> np.ndarray:
+    """Labels of rows that lie end to end: -100, but behind each `marker` the ids up to and with the next `end`, or to the row's end.
+
+    A span is open from a marker's end to the first `end` behind it, so every id between the
+    last such opening and the last closing before it is kept: both are running maxima of positions. A marker that
+    begins inside an open span opens nothing new; an empty marker masks everything.
     """
-    labels, i, n = [IGNORED] * len(ids), 0, len(marker)
-    while n and i + n <= len(ids):
-        if ids[i : i + n] != marker:
-            i += 1
-            continue
-        i += n
-        while i < len(ids):
-            labels[i] = ids[i]
-            i += 1
-            if ids[i - 1] == end:
-                break
-    return labels
+    place = np.arange(len(flat))
+    row_start = np.r_[0, ends[:-1]][np.searchsorted(ends, place, "right")] if len(flat) else place
+    opened = np.full(len(flat), -1)
+    behind = _openings(flat, ends, marker, end)
+    opened[behind] = behind
+    opened = np.maximum.accumulate(opened) if len(flat) else opened
+    # An id ends its span; it counts from the position behind it.
+    closed = np.full(len(flat) + 1, -1)
+    closes = np.nonzero(flat == end)[0]
+    closed[closes + 1] = closes + 1
+    closed = np.maximum.accumulate(closed)[: len(flat)]
+    # Open where an opening of this row lies at or behind the last close.
+    kept = (opened >= row_start) & (opened >= np.maximum(closed, 0)) if len(flat) else np.zeros(0, bool)
+    return np.where(kept, flat, IGNORED)
+
+
+def _masked(lists: pa.ListArray, marker: list[int], end: int) -> pa.Array:
+    """Labels of a column of ids; null for a null row."""
+    lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(lengths, dtype=np.int64)
+    flat = lists.flatten().fill_null(IGNORED).to_numpy(zero_copy_only=False).astype(np.int64)
+    made = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(label_masks(flat, ends, marker, end), pa.int64()))
+    return pc.if_else(lists.is_valid(), made, pa.scalar(None, made.type)) if lists.null_count else made
+
+
+def label_mask(ids: list[int], marker: list[int], end: int) -> list[int]:
+    """label_masks of one row."""
+    return label_masks(np.array(ids, np.int64), np.array([len(ids)]), marker, end).tolist()
 
 
 def masked_labels(df: DataFrame, marker: list[int], end: int, ids: str = "input_ids", name: str = "labels") -> DataFrame:
-    """`df` with the column `name` of label_mask; null ids give null labels."""
+    """`df` with the column `name` of label_masks, a batch at a time; null ids give null labels."""
     schema = df.drop(name).withColumn(name, F.lit(None).cast("array<bigint>")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            labels = [None if row is None else label_mask(row, marker, end) for row in b.column(b.schema.get_field_index(ids)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(labels, pa.list_(pa.int64()))], [*b.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*b.columns, _masked(b.column(b.schema.get_field_index(ids)), marker, end)], [*b.schema.names, name])
 
     return df.drop(name).mapInArrow(run, schema)
 
@@ -75,17 +117,10 @@ def with_visual_token(ids: Column, mask: Column, pad: int) -> tuple[Column, Colu
 
 def drop_markers(messages: list[dict], total: int) -> list[dict]:
     """Messages with only the first `total` image markers; other parts and the messages stay."""
-    seen, out = 0, []
-    for m in messages:
-        content = []
-        for part in m["content"] or []:
-            if part["type"] == "image":
-                seen += 1
-                if seen > total:
-                    continue
-            content.append(part)
-        out.append({**m, "content": content})
-    return out
+    parts = [(i, part) for i, m in enumerate(messages) for part in m["content"] or []]
+    before = accumulate((part["type"] == "image" for _, part in parts), initial=0)
+    kept = [(i, part) for (i, part), n in zip(parts, before) if part["type"] != "image" or n < total]
+    return [{**m, "content": [part for j, part in kept if j == i]} for i, m in enumerate(messages)]
 
 
 def collate(rows: DataFrame, encode: Callable[[list[dict], int], list[int]], marker: list[int], end: int, most: int = 4096, messages: str = "messages", images: str = "images") -> DataFrame:
@@ -112,8 +147,7 @@ def collate(rows: DataFrame, encode: Callable[[list[dict], int], list[int]], mar
                 counts.append(n)
                 tokens.append(ids)
             big = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[: len(keep)], pa.array(counts, pa.int32()), pa.array(tokens, big), pa.array([label_mask(t, marker, end) for t in tokens], big)], [*keep, "images", "input_ids", "labels"]
-            )
+            made = pa.array(tokens, big)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(counts, pa.int32()), made, _masked(made, marker, end)], [*keep, "images", "input_ids", "labels"])
 
     return source.mapInArrow(run, schema)

@@ -6,16 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thinwell.operators.numbering import batched
+from thinwell.sources.session import cut
 
 
 def selected_rows(source: DataFrame, selected: DataFrame, key: str, selected_key: str = "id") -> DataFrame:
     """The source rows whose key is among the selected ids; null keys match nothing.
 
     A semi join: Spark broadcasts the ids where they are small and shuffles both
-    sides where not.
+    sides where not. The least and greatest id reach the scan as predicates, so
+    row groups without a selected id are not read.
     """
-    ids = selected.select(F.col(selected_key).alias(key)).where(F.col(key).isNotNull()).distinct()
-    return source.join(ids, key, "left_semi")
+    ids = cut(selected.select(F.col(selected_key).alias(key)).where(F.col(key).isNotNull()).distinct())
+    low, high = ids.agg(F.min(key), F.max(key)).first()
+    if low is None:
+        return source.limit(0)
+    return source.where(F.col(key).between(low, high)).join(ids, key, "left_semi")
 
 
 def ordered_batches(source: DataFrame, selected: DataFrame, key: str, size: int, selected_key: str = "id") -> DataFrame:

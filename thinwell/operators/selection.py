@@ -14,10 +14,12 @@ from thinwell.operators.paging import sharded, strided_pages
 from thinwell.plans.config import SelectionConfig
 from thinwell.sources.session import cut
 
-#: Vectors that one task may hold; larger pools are selected by one distributed pass for each pick.
-POOL = 200_000
-#: Selected vectors that are compared at a time when coverage is measured.
-BLOCK = 20_000
+#: Bytes of vectors that one task may hold; larger pools are selected by distributed passes.
+POOL_BYTES = 128 << 20
+#: Far vectors that a task offers in a pass, those of all tasks together, and picks after which the nearest distances are written down.
+OFFERED, OFFERED_IN_ALL, WRITTEN_AFTER = 64, 20_000, 256
+#: Selected vectors that are compared at a time when coverage is measured, and vectors of the pool in one task beside them.
+BLOCK, BESIDE = 20_000, 50_000
 
 PICKED = "id bigint, pick int, distance double, embedding array<double>"
 
@@ -82,41 +84,98 @@ def _pick(k: int, start_id: int | None):
     return run
 
 
-def _farthest(picked: np.ndarray, taken: set):
-    """Of each batch the row that is farthest from its nearest pick."""
+def _nearer(ids: np.ndarray, x: np.ndarray, near: np.ndarray, picked: np.ndarray, taken: np.ndarray) -> np.ndarray:
+    """Distances to the nearest pick once `picked` is picked too; of picks themselves -inf."""
+    if len(picked):
+        near = np.minimum(near, 1.0 - (x @ picked.T).max(axis=1))
+    return np.where(np.isin(ids, taken), -np.inf, near)
 
+
+def _offers(picked: np.ndarray, taken: np.ndarray, most: int):
+    """Of each task the `most` vectors farthest from their nearest pick, and the next one's distance as a bound of all others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, x, near = np.zeros(0, np.int64), None, np.zeros(0)
+        for batch in batches:
+            if batch.num_rows:
+                new, rows = _sorted_pool(pa.Table.from_batches([batch]))
+                held = batch.column("near").to_numpy()[np.argsort(batch.column("id").to_numpy(), kind="stable")]
+                ids, near = np.r_[ids, new], np.r_[near, _nearer(new, rows, held, picked, taken)]
+                x = rows if x is None else np.concatenate([x, rows])
+                best = np.lexsort((ids, -near))[: most + 1]
+                ids, x, near = ids[best], x[best], near[best]
+        if len(ids):
+            # The last row is the bound: it has pick 1, offers have pick 0.
+            out = _rows(ids, x, near).drop_columns(["pick"])
+            yield out.append_column("pick", pa.array((np.arange(len(ids)) == most).astype(np.int32))).select(["id", "pick", "distance", "embedding"]).combine_chunks().to_batches()[0]
+
+    return run
+
+
+def _written(picked: np.ndarray, taken: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 ids, x = _sorted_pool(pa.Table.from_batches([batch]))
-                far = 1.0 - (x @ picked.T).max(axis=1)
-                far[[i for i, v in enumerate(ids.tolist()) if v in taken]] = -np.inf
-                best = int(np.argmax(far))
-                yield _rows(ids[best : best + 1], x[best : best + 1], far[best : best + 1]).to_batches()[0]
+                order = np.argsort(batch.column("id").to_numpy(), kind="stable")
+                near = _nearer(ids, x, batch.column("near").to_numpy()[order], picked, taken)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), batch.column("embedding").take(pa.array(order)), pa.array(near)], ["id", "embedding", "near"])
 
     return run
 
 
-def greedy_kcenter(pool: DataFrame, k: int, start_id: int | None = None, in_one_task: int = POOL) -> DataFrame:
+def _in_passes(pool: DataFrame, k: int, start_id: int | None) -> DataFrame:
+    """The picks from a pool that no task holds.
+
+    In a pass every task offers the vectors that are farthest from their nearest pick, with the distance that no
+    other of its vectors exceeds. As distances only fall, the driver can go on picking among the
+    offers while the farthest one lies above all bounds, so a pass gives many picks. The
+    distances to the nearest pick are kept with the pool and written anew after every WRITTEN_AFTER picks.
+    """
+    spark = pool.sparkSession
+    first = pool.where(F.col("id") == start_id).first() if start_id is not None else None
+    first = first or pool.orderBy("id").first()
+    out = [(first["id"], 0, float("inf"), first["embedding"])]
+    held, written = pool.withColumn("near", F.lit(float("inf"))), 0
+    most = max(1, min(OFFERED, OFFERED_IN_ALL // max(1, pool.rdd.getNumPartitions())))
+    while len(out) < k:
+        if len(out) - written >= WRITTEN_AFTER:
+            held = cut(held.mapInArrow(_written(np.array([r[3] for r in out[written:]]), np.array([r[0] for r in out[written:]])), "id bigint, embedding array<double>, near double"))
+            written = len(out)
+        picked, taken = np.array([r[3] for r in out[written:]]), np.array([r[0] for r in out[written:]], np.int64)
+        rows = held.mapInArrow(_offers(picked, taken, most), PICKED).collect()
+        bound = max((r["distance"] for r in rows if r["pick"]), default=-np.inf)
+        ids, x = np.array([r["id"] for r in rows]), np.array([r["embedding"] for r in rows])
+        near = np.array([r["distance"] for r in rows])
+        order = np.argsort(ids, kind="stable")
+        ids, x, near = ids[order], x[order], near[order]
+        before = len(out)
+        while len(out) < k:
+            best = int(np.argmax(near)) if len(near) else 0
+            # The first of a pass is the farthest of all; later ones only while they lie above what was not offered.
+            if not len(near) or near[best] == -np.inf or len(out) > before and near[best] <= bound:
+                break
+            out.append((int(ids[best]), len(out), max(float(near[best]), 0.0), x[best].tolist()))
+            near = np.minimum(near, 1.0 - x @ x[best])
+            near[best] = -np.inf
+        if len(out) == before:
+            break
+    return spark.createDataFrame(out, PICKED)
+
+
+def greedy_kcenter(pool: DataFrame, k: int, start_id: int | None = None, in_one_task: int | None = None) -> DataFrame:
     """id, pick, distance, embedding of the `k` picks from a pool of unit vectors (id, embedding).
 
     Starts at `start_id`, or at the lowest id where it is not given or not in the pool;
-    the lowest id wins a tie. A pool of up to `in_one_task` vectors is selected
-    in one task; a larger one is never gathered: each pick is one distributed pass.
+    the lowest id wins a tie. A pool of up to `in_one_task` vectors, by default POOL_BYTES of them, is
+    selected in one task; a larger one is never gathered (see `_in_passes`).
     `k` over the pool takes all of it; `k` of 0 or less, or an empty pool, none.
     """
     pool = cut(pool.select("id", "embedding"))
-    if k > 0 and pool.count() > in_one_task:
-        spark = pool.sparkSession
-        rows = [pool.where(F.col("id") == start_id).first() or pool.orderBy("id").first()] if start_id is not None else [pool.orderBy("id").first()]
-        out = [(rows[0]["id"], 0, float("inf"), rows[0]["embedding"])]
-        while len(out) < k:
-            picked, taken = np.array([r[3] for r in out]), {r[0] for r in out}
-            far = pool.mapInArrow(_farthest(picked, taken), PICKED).orderBy(F.desc("distance"), "id").first()
-            if far is None or far["distance"] == -np.inf:
-                break
-            out.append((far["id"], len(out), max(far["distance"], 0.0), far["embedding"]))
-        return spark.createDataFrame(out, PICKED)
+    if k > 0:
+        n, size = pool.agg(F.count("*"), F.max(F.size("embedding"))).first()
+        if n > (POOL_BYTES // (8 * max(size or 1, 1)) if in_one_task is None else in_one_task):
+            return _in_passes(pool, k, start_id)
     return pool.groupBy().applyInArrow(_pick(k, start_id), PICKED)
 
 
@@ -186,39 +245,50 @@ def global_merge(local: DataFrame, final_size: int, start_id: int | None = None)
     return greedy_kcenter(pool, final_size, start_id)
 
 
-def two_stage(df: DataFrame, config: SelectionConfig, paged: bool = False, limited: bool = False) -> DataFrame:
-    """id, embedding of the final coreset, sorted by id: shards, strided pages, local selection, global selection."""
+def two_stage(df: DataFrame, config: SelectionConfig, paged: bool = True, limited: bool = False) -> DataFrame:
+    """id, embedding of the final coreset, sorted by id: shards, strided pages, local selection, global selection.
+
+    Page by page a task holds one page and one coreset; with `paged` off it holds a whole shard.
+    """
     rows = strided_pages(sharded(unit_vectors(df, config.id_column, config.vector_column), config.shards), config, limited=limited)
     local = paged_coresets(rows, config.local_size) if paged else local_coresets(rows, config.local_size)
     return global_merge(local, config.final_size, config.start_id).select("id", "embedding").orderBy("id")
 
 
+def _nearest_of(block: np.ndarray, ids: np.ndarray, x: np.ndarray) -> list[pa.Array]:
+    return [pa.array(ids, pa.int64()), pa.array(np.maximum(1.0 - (x @ block.T).max(axis=1), 0.0))]
+
+
 def coverage(pool: DataFrame, selected: DataFrame) -> DataFrame:
     """id, distance: the distance of every unit vector to the nearest selected one, 0 at least.
 
-    The selected vectors go to the tasks in blocks of a fixed size; an empty
+    A selection of up to BLOCK vectors goes to the tasks as it is, and the pool is not shuffled. A larger one is
+    dealt out to blocks, and every part of the pool meets every block in a task of its own. An empty
     selection gives an empty result.
     """
-    found = None
-    held: list = []
+    schema = "id bigint, distance double"
+    selected = cut(selected.select("id", "embedding"))
+    m = selected.count()
+    if not m:
+        return pool.sparkSession.createDataFrame([], schema)
+    if m <= BLOCK:
+        block = np.array([r["embedding"] for r in selected.select("embedding").collect()])
 
-    def measured(block: np.ndarray) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
-                    ids, x = _sorted_pool(pa.Table.from_batches([batch]))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.maximum(1.0 - (x @ block.T).max(axis=1), 0.0))], ["id", "distance"])
-
-        return pool.select("id", "embedding").mapInArrow(run, "id bigint, distance double")
-
-    for row in selected.select("embedding").toLocalIterator():
-        held.append(row["embedding"])
-        if len(held) == BLOCK:
-            part = measured(np.array(held))
-            found, held = part if found is None else found.unionByName(part), []
-    if held:
-        part = measured(np.array(held))
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return pool.sparkSession.createDataFrame([], "id bigint, distance double")
-    return found.groupBy("id").agg(F.min("distance").alias("distance"))
+                    yield pa.RecordBatch.from_arrays(_nearest_of(block, *_sorted_pool(pa.Table.from_batches([batch]))), ["id", "distance"])
+
+        return pool.select("id", "embedding").mapInArrow(run, schema)
+
+    def meet(part: pa.Table, block: pa.Table) -> pa.Table:
+        if not part.num_rows or not block.num_rows:
+            return pa.table({"id": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
+        return pa.table(dict(zip(("id", "distance"), _nearest_of(_sorted_pool(block)[1], *_sorted_pool(part)))))
+
+    blocks, parts = -(-m // BLOCK), max(1, -(-pool.count() // BESIDE))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = pool.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), numbers(blocks).alias("block"))
+    sides = selected.select("id", "embedding", numbers(parts).alias("part"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"))
+    met = rows.groupBy("part", "block").cogroup(sides.groupBy("part", "block")).applyInArrow(meet, schema)
+    return met.groupBy("id").agg(F.min("distance").alias("distance"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thinwell.functions.texts import stripped_or_empty
+from thinwell.operators.images import Codec, with_decodable
 
 MAX_QA, MAX_IMAGES = 4, 8
 SIGNATURES = ("89504E470D0A1A0A", "5035")
@@ -17,7 +20,7 @@ def first_element(values: Column) -> Column:
 
 
 def looks_like_image(image: Column) -> Column:
-    """Whether the bytes begin as a PNG or a binary PGM; never null. Decoding proper is in operators.images."""
+    """Whether the bytes begin as a PNG or a binary PGM; never null. Cheaper than decoding, but a broken file passes."""
     head = F.hex(F.substring(image["bytes"], 1, 8))
     return F.coalesce(head.startswith(SIGNATURES[0]) | head.startswith(SIGNATURES[1]), F.lit(False))
 
@@ -50,20 +53,25 @@ def messages(chunk: Column, images: Column) -> Column:
     return F.flatten(F.transform(chunk, turn))
 
 
-def qa_chunks(docs: DataFrame, key: str, max_qa: int = MAX_QA, max_images: int = MAX_IMAGES, valid=looks_like_image) -> DataFrame:
+def qa_chunks(docs: DataFrame, key: str, max_qa: int = MAX_QA, max_images: int = MAX_IMAGES, valid: Callable[[Column], Column] | None = None, codec: Codec | None = None) -> DataFrame:
     """key, chunk, pairs, images: up to `max_qa` valid pairs a row, and the document's valid images.
 
-    Images are cut to `max_images` before they are judged. Documents without a
+    Images are cut to `max_images` before they are judged, by decoding them (with `codec`, where it is
+    given, for formats beyond PNG and PNM) or by `valid`, an expression, where that is given. Documents without a
     valid image or pair, and null lists, give no rows.
     """
-    images = F.filter(F.slice("images", 1, max_images), lambda i: i.isNotNull() & valid(i))
-    made = docs.select(F.col(key), images.alias("images"), valid_pairs(F.col("texts")).alias("pairs")).where((F.size("images") > 0) & (F.size("pairs") > 0))
-    return made.select(key, F.posexplode(chunks(F.col("pairs"), max_qa)).alias("chunk", "pairs"), "images")
+    source = docs.select(F.col(key), F.slice("images", 1, max_images).alias("images"), valid_pairs(F.col("texts")).alias("pairs")).where((F.size("images") > 0) & (F.size("pairs") > 0))
+    if valid is not None:
+        made = source.withColumn("images", F.filter("images", lambda i: i.isNotNull() & valid(i)))
+    else:
+        judged = with_decodable(source, "images", max_images, "_decodes", codec)
+        made = judged.withColumn("images", F.transform(F.filter(F.arrays_zip(F.col("images").alias("image"), F.col("_decodes").alias("ok")), lambda x: x["ok"]), lambda x: x["image"]))
+    return made.where(F.size("images") > 0).select(key, F.posexplode(chunks(F.col("pairs"), max_qa)).alias("chunk", "pairs"), "images")
 
 
-def chat_rows(docs: DataFrame, key: str, max_qa: int = MAX_QA, max_images: int = MAX_IMAGES, valid=looks_like_image) -> DataFrame:
+def chat_rows(docs: DataFrame, key: str, max_qa: int = MAX_QA, max_images: int = MAX_IMAGES, valid: Callable[[Column], Column] | None = None, codec: Codec | None = None) -> DataFrame:
     """key, chunk, messages, images of every chunk; each chunk repeats the document's images."""
-    rows = qa_chunks(docs, key, max_qa, max_images, valid)
+    rows = qa_chunks(docs, key, max_qa, max_images, valid, codec)
     return rows.select(key, "chunk", messages(F.col("pairs"), F.size("images")).alias("messages"), "images")
 
 

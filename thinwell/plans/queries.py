@@ -45,13 +45,20 @@ def _greedy(s: SparkSession, d: str) -> DataFrame:
     return selection.greedy_kcenter(_vectors(s, d), K).select("id", "pick")
 
 
-def _two_stage(s: SparkSession, d: str, paged: bool = False) -> DataFrame:
+def _two_stage(s: SparkSession, d: str, paged: bool = True) -> DataFrame:
     return selection.two_stage(table(s, d, "embedded_rows", "id", "embedding"), CONFIG, paged).select("id")
 
 
+def _kept(s: SparkSession, d: str) -> DataFrame:
+    return paging.strided_pages(paging.sharded(_vectors(s, d), CONFIG.shards), CONFIG, limited=False)
+
+
 def _local(s: SparkSession, d: str) -> DataFrame:
-    rows = paging.strided_pages(paging.sharded(_vectors(s, d), CONFIG.shards), CONFIG, limited=False)
-    return selection.local_coresets(rows, CONFIG.local_size).select("shard", "id", "pick")
+    return selection.local_coresets(_kept(s, d), CONFIG.local_size).select("shard", "id", "pick")
+
+
+def _incremental(s: SparkSession, d: str) -> DataFrame:
+    return selection.paged_coresets(_kept(s, d), CONFIG.local_size).select("shard", "id")
 
 
 def _coverage(s: SparkSession, d: str) -> DataFrame:
@@ -192,7 +199,8 @@ def queries() -> dict[str, Query]:
         "greedy_kcenter": _greedy,
         "local_coresets": _local,
         "coreset_two_stage": _two_stage,
-        "coreset_incremental": lambda s, d: _two_stage(s, d, True),
+        "coreset_whole_shards": lambda s, d: _two_stage(s, d, False),
+        "coreset_incremental": _incremental,
         "coverage_min_distance": _coverage,
         "pairwise_similarity_stats": _stats,
         "pairwise_similarity_histogram": lambda s, d: similarity.pairwise_histogram(_vectors(s, d)).select("bin", "pairs"),
@@ -257,11 +265,42 @@ def _greedy_sql(name: str, pool: str, k: int, by: str) -> str:
 """
 
 
-TWO_STAGE = f"WITH RECURSIVE {UNIT}, {PAGED}, {_greedy_sql('near_by', 'kept', 12, 'shard')}, {_greedy_sql('final', 'near_by', 20, '0')}"
+# One row for each member of a shard's pool in each step: K steps of picking on a page, then the picked rows meet the next page.
+INCREMENTAL = """
+merged AS (
+    SELECT CAST(0 AS INTEGER) AS page, 0 AS step, shard AS g, id, v, CAST('Infinity' AS DOUBLE) AS near, false AS taken, id = min(id) OVER (PARTITION BY shard) AS picked FROM kept WHERE page = 0
+    UNION ALL (
+    SELECT page, step + 1, g, id, v, near, taken, NOT taken AND row_number() OVER (PARTITION BY g ORDER BY taken, near DESC, id) = 1 FROM (
+        SELECT page, step, g, id, v, taken OR picked AS taken,
+            least(near, 1 - list_dot_product(v, any_value(v) FILTER (WHERE picked) OVER (PARTITION BY g))) AS near
+        FROM merged WHERE step < 11)
+    UNION ALL
+    SELECT page + 1, 0, g, id, v, CAST('Infinity' AS DOUBLE), false, id = min(id) OVER (PARTITION BY g) FROM (
+        SELECT page, g, id, v FROM merged WHERE step = 11 AND (taken OR picked) AND page < (SELECT max(page) FROM kept)
+        UNION ALL
+        SELECT p.page, k.shard, k.id, k.v FROM kept k, (SELECT DISTINCT page, g FROM merged WHERE step = 11) p WHERE k.shard = p.g AND k.page = p.page + 1))),
+local AS (SELECT g, id, v FROM merged WHERE step = 11 AND (taken OR picked) AND page = (SELECT max(page) FROM kept))
+"""
+TWO_STAGE = f"WITH RECURSIVE {UNIT}, {PAGED}, {INCREMENTAL}, {_greedy_sql('final', 'local', 20, '0')}"
+WHOLE_SHARDS = f"WITH RECURSIVE {UNIT}, {PAGED}, {_greedy_sql('near_by', 'kept', 12, 'shard')}, {_greedy_sql('final', 'near_by', 20, '0')}"
 ONE_PASS = f"WITH RECURSIVE {UNIT}, {_greedy_sql('chosen', 'unit', 25, '0')}"
 DOCS = "docs AS (SELECT * FROM source_docs QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY ingested_at) = 1)"
 SCORES = "scores AS (SELECT * FROM predictions QUALIFY row_number() OVER (PARTITION BY run_id, id ORDER BY answered_at) = 1)"
 PAIRS = f"WITH {UNIT}, sims AS (SELECT list_dot_product(a.v, b.v) AS s FROM unit a, unit b WHERE a.id <> b.id)"
+# Whole files, as far as SQL can see: a PNG with its closing chunk, a PGM with all bytes of its pixels.
+BETWEEN = "(?:0[9AD]|20|23(?:[1-9A-F][0-9A-F]|0[0-9B-F])*0A)+"  # blanks and comments
+PGM = f"'^5035{BETWEEN}((?:3[0-9])+){BETWEEN}((?:3[0-9])+){BETWEEN}(?:3[0-9])+(?:0[9AD]|20)'"
+SIDE = lambda x, i: rf"TRY_CAST(regexp_replace(regexp_extract({x}, {PGM}, {i}), '3(.)', '\1', 'g') AS INTEGER)"
+WHOLE_IMAGE = rf"""coalesce((starts_with(hex(x.bytes), '89504E470D0A1A0A') AND ends_with(hex(x.bytes), '49454E44AE426082')) OR
+    (regexp_matches(hex(x.bytes), {PGM}) AND octet_length(x.bytes) >= length(regexp_extract(hex(x.bytes), {PGM})) // 2 + {SIDE("hex(x.bytes)", 1)} * {SIDE("hex(x.bytes)", 2)}), false)"""
+SIZED = rf"""
+WITH docs AS (SELECT * FROM source_docs QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY ingested_at) = 1),
+first AS (SELECT row_id, images[1] AS x FROM docs), heads AS (SELECT row_id, hex(x.bytes) AS h, {WHOLE_IMAGE} AS ok FROM first),
+sides AS (SELECT row_id, CASE WHEN NOT ok THEN NULL WHEN starts_with(h, '89') THEN TRY_CAST('0x' || h[33:40] AS INTEGER) ELSE {SIDE("h", 1)} END AS w,
+    CASE WHEN NOT ok THEN NULL WHEN starts_with(h, '89') THEN TRY_CAST('0x' || h[41:48] AS INTEGER) ELSE {SIDE("h", 2)} END AS h FROM heads)
+SELECT row_id, CASE WHEN greatest(w, h) > 16 THEN greatest(1, CAST(trunc(w * (16.0::DOUBLE / greatest(w, h))) AS INTEGER)) ELSE w END AS width,
+    CASE WHEN greatest(w, h) > 16 THEN greatest(1, CAST(trunc(h * (16.0::DOUBLE / greatest(w, h))) AS INTEGER)) ELSE h END AS height FROM sides
+"""
 EACH_TURN = "SELECT row_id, CAST(i - 1 AS INTEGER) AS turn_idx, texts[i] AS t FROM docs, range(1, len(texts) + 1) AS r(i)"
 MAPPED = f"""
 WITH {DOCS}, turns AS ({EACH_TURN})
@@ -272,7 +311,7 @@ QA = f"""
 WITH {DOCS}, turns AS ({EACH_TURN}),
 sides AS (SELECT row_id, turn_idx, {_strip_sql('t."user"')} AS question, {_strip_sql('t.assistant')} AS answer FROM turns),
 qa AS (SELECT row_id, question, answer, CAST(row_number() OVER (PARTITION BY row_id ORDER BY turn_idx) - 1 AS INTEGER) AS place FROM sides WHERE question <> '' AND answer <> ''),
-pictures AS (SELECT row_id, CAST(len(list_filter(images[1:8], lambda x: coalesce(starts_with(hex(x.bytes), '89504E470D0A1A0A') OR starts_with(hex(x.bytes), '5035'), false))) AS INTEGER) AS n_images FROM docs),
+pictures AS (SELECT row_id, CAST(len(list_filter(images[1:8], lambda x: {WHOLE_IMAGE})) AS INTEGER) AS n_images FROM docs),
 chunked AS (SELECT qa.row_id, place // 4 AS chunk, place, question, answer, n_images FROM qa JOIN pictures USING (row_id) WHERE n_images > 0)
 """
 CHUNKS = f"""{QA}
@@ -322,6 +361,8 @@ def oracle_sql() -> dict[str, str]:
         "greedy_kcenter": f"{ONE_PASS} SELECT id, CAST(pick AS INTEGER) AS pick FROM chosen",
         "local_coresets": f"WITH RECURSIVE {UNIT}, {PAGED}, {_greedy_sql('near_by', 'kept', 12, 'shard')} SELECT g AS shard, id, CAST(pick AS INTEGER) AS pick FROM near_by",
         "coreset_two_stage": f"{TWO_STAGE} SELECT id FROM final",
+        "coreset_whole_shards": f"{WHOLE_SHARDS} SELECT id FROM final",
+        "coreset_incremental": f"WITH RECURSIVE {UNIT}, {PAGED}, {INCREMENTAL} SELECT g AS shard, id FROM local",
         "coverage_min_distance": f"{ONE_PASS} SELECT u.id, round(greatest(min(1 - list_dot_product(u.v, c.v)), 0), 6) AS distance FROM unit u, chosen c GROUP BY u.id",
         "pairwise_similarity_stats": f"{PAIRS} SELECT count(*) AS pairs, round(avg(s), 6) AS mean, round(median(s), 6) AS median, round(stddev_pop(s), 6) AS std, round(min(s), 6) AS low, round(max(s), 6) AS high FROM sims",
         "pairwise_similarity_histogram": f"""{PAIRS}, ends AS (SELECT min(s) AS low, (max(s) - min(s)) / 50 AS width FROM sims),
@@ -348,6 +389,9 @@ def oracle_sql() -> dict[str, str]:
                 FROM scores WINDOW w AS (PARTITION BY run_id ORDER BY answered_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
             SELECT run_id, CAST(seen AS INTEGER) AS seen, right_n AS "right", total, round(100.0::DOUBLE * right_n / total, 6) AS accuracy FROM placed WHERE error IS NULL AND seen % 50 = 0""",
         "prompt_build": PROMPT,
+        "image_sizes": SIZED,
+        "image_validity": f"""WITH {DOCS} SELECT row_id, CAST(coalesce(len(list_filter(images[1:8], lambda x: {WHOLE_IMAGE})), 0) AS INTEGER) AS valid,
+            CAST(coalesce(len(list_filter(images[1:8], lambda x: x.bytes IS NOT NULL AND NOT {WHOLE_IMAGE})), 0) AS INTEGER) AS unread FROM docs""",
         "label_mask": f"WITH {TOKENS} SELECT id, array_to_string(list_concat(list_transform(range(len(ids) + 4), lambda x: -100), ids, [0, -100, -100]), ',') AS labels FROM tokens",
         "pad_to_batch_max": f"""WITH {TOKENS}, placed AS (SELECT id, ids, (row_number() OVER (ORDER BY id) - 1) // 16 AS batch FROM tokens),
             sized AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch) AS most FROM placed)

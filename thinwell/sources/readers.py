@@ -21,6 +21,11 @@ def row_at(df: DataFrame, key: str, value) -> dict | None:
     return None if row is None else row.asDict(recursive=True)
 
 
+def row_count(df: DataFrame) -> int:
+    """The number of rows, as the length of the row wrapper."""
+    return df.count()
+
+
 def generated(spark: SparkSession, make, schema: str, parts: int = 1) -> DataFrame:
     """Rows that `make(part)` yields, one call for each of `parts` partitions."""
     names = [x.split()[0] for x in schema.split(",")]

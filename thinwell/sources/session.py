@@ -16,6 +16,7 @@ def local_session(cores: int | str = "*", partitions: int = 8, name: str = "thin
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -26,7 +27,8 @@ def cut(df: DataFrame) -> DataFrame:
     """`df` computed once and read back from the shared checkpoint folder.
 
     The folder is the cluster's own (`spark.checkpoint.dir`); only where no
-    folder is set, as in local tests, a temporary one is used.
+    folder is set, as in local tests, a temporary one is used. Spark deletes what was written once
+    nothing refers to it, with spark.cleaner.referenceTracking.cleanCheckpoints, as local sessions set it.
     """
     spark = df.sparkSession
     context = spark.sparkContext

@@ -36,12 +36,13 @@ def _rename(spark: SparkSession, folder: str, names: dict[int, str]) -> None:
 def write_shards(rows: DataFrame, path: str, size: int, *order: str) -> int:
     """Rows in the order of `order` as train-00000-of-00012.parquet and so on, `size` rows each; returns the number of shards.
 
-    An empty table writes no shard.
+    The rows themselves are numbered, so repeated and null keys lose and multiply nothing; nulls come first,
+    ties in any order. An empty table writes no shard.
     """
-    positions = batched(rows.select(*order), size, *order)
-    shards = (positions.agg(F.max("batch")).first()[0] + 1) if not positions.isEmpty() else 0
+    placed = batched(rows, size, *order)
+    last = placed.agg(F.max("batch")).first()[0]
+    shards = 0 if last is None else last + 1
     if shards:
-        placed = rows.join(positions, list(order)).repartition("batch").sortWithinPartitions("batch", "position").drop("position")
-        placed.write.mode("overwrite").partitionBy("batch").parquet(path)
+        placed.repartition("batch").sortWithinPartitions("batch", "position").drop("position").write.mode("overwrite").partitionBy("batch").parquet(path)
         _rename(rows.sparkSession, path, {i: f"train-{i:05d}-of-{shards:05d}.parquet" for i in range(shards)})
     return shards

@@ -35,12 +35,21 @@ def first_delivery(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Of each key the row that was delivered first by `order`.
 
     Only keys and times are shuffled, to find the keys that occur more than once; the
-    rows themselves are filtered where they are. Rows that tie in `order` all stay, as
-    do rows with a null key.
+    rows themselves are filtered where they are. Of rows of one key that tie in `order`
+    the one of the least content stays, one of equal rows; only those rows are shuffled. Rows with a null key all stay.
     """
-    times = df.groupBy(*keys).agg(F.min(order).alias("_first"), F.count("*").alias("_n"))
-    repeated = cut(times.where("_n > 1").drop("_n"))
-    if repeated.count() <= BROADCAST_KEYS:
-        repeated = F.broadcast(repeated)
-    rows = df.join(repeated, keys, "left").where(F.col("_first").isNull() | (F.col(order) == F.col("_first")))
-    return rows.select(*df.columns)
+    times = df.groupBy(*keys, order).agg(F.count("*").alias("_n")).groupBy(*keys)
+    times = times.agg(F.min(F.struct(F.col(order).alias("at"), "_n")).alias("_first"), F.sum("_n").alias("_all"))
+    known = F.lit(True)
+    for key in keys:
+        known &= F.col(key).isNotNull()
+    repeated = cut(times.where("_all > 1").where(known).select(*keys, "_first"))
+    small = repeated.count() <= BROADCAST_KEYS
+    held = lambda rows: F.broadcast(rows) if small else rows
+    first = F.col("_first").isNull() | F.col(order).eqNullSafe(F.col("_first.at"))
+    rows = df.join(held(repeated), keys, "left").where(first)
+    if repeated.where("_first._n > 1").isEmpty():
+        return rows.select(*df.columns)
+    tied = F.coalesce(F.col("_first._n") > 1, F.lit(False))
+    least = F.min(F.struct(*(F.col(c) for c in df.columns))).alias("_row")
+    return rows.where(~tied).select(*df.columns).unionByName(rows.where(tied).groupBy(*keys).agg(least).select("_row.*"))
