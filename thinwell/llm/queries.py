@@ -103,5 +103,16 @@ SELECT row_id, -1, 'images' FROM source_docs WHERE len(images) > 8
 """
 
 
+PLAIN_WORDS = r"regexp_extract_all(strip_accents(lower({0})), '[\p{{L}}\p{{N}}]+')".format
+P7_FOUND = f"""
+WITH items AS (SELECT DISTINCT id AS sample_id, {PLAIN_WORDS("question")} AS w FROM eval_samples WHERE id IS NOT NULL),
+parts AS (SELECT DISTINCT sample_id, array_to_string(w[i:i + 9], ' ') AS part FROM items, range(1, len(w) - 8) AS r(i)),
+turns AS (SELECT row_id, unnest(texts) AS t FROM source_docs WHERE row_id IS NOT NULL),
+words AS (SELECT row_id, {PLAIN_WORDS("field")} AS w FROM (SELECT row_id, t."user" AS field FROM turns UNION ALL SELECT row_id, t.assistant FROM turns)),
+windows AS (SELECT DISTINCT row_id, array_to_string(w[i:i + 9], ' ') AS part FROM words, range(1, len(w) - 8) AS r(i))
+SELECT DISTINCT row_id, sample_id FROM windows JOIN parts USING (part)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p3_subset": P3_SUBSET, "p4_found": P4_FOUND, "p4_nearest": P4_NEAREST, "p6_found": P6_FOUND, "p8_decoded": P8_DECODED}
+    return {"p3_subset": P3_SUBSET, "p4_found": P4_FOUND, "p4_nearest": P4_NEAREST, "p6_found": P6_FOUND, "p7_found": P7_FOUND, "p8_decoded": P8_DECODED}
