@@ -4,8 +4,10 @@ Fit, on a bounded sample: a neighbour graph, its balanced partition (balanced
 k-means as a start, then moves along graph edges under a size limit), and a small
 classifier that learns, from a vector, the distribution of its graph neighbours
 over the partitions (after Dong et al., 2020). Then every vector is stored in its
-most probable partition and searches the PROBES most probable ones, exactly and
-in double precision.
+most probable partition and searches the most probable ones, exactly and in double
+precision. How many it searches is measured: for ASKED vectors the true neighbours among all
+vectors are found in one pass, and so many partitions are searched, at least PROBES, that WANTED of them
+lie there. So recall does not depend on how many vectors there are and how they lie.
 
 One level of partitions serves up to ONE_LEVEL vectors. Beyond, each partition is
 partitioned again in the same way, fitted on a bounded sample of its own vectors, so
@@ -41,8 +43,11 @@ SAMPLE = 8_192
 PER_PARTITION, MOST_PARTITIONS = 1_500, SAMPLE // 32
 #: Vectors up to which one level is enough, those of one partition that the second level is fitted on, at most, and of each leaf.
 ONE_LEVEL, LEAF_SAMPLE, PER_LEAF = 300_000, 8_192, 64
-#: Leaves that are searched, with one level and with two, and partitions that the leaves are looked for in.
-PROBES, PROBES_TWICE, REACHED = 4, 8, 4
+#: Leaves that are searched at least, vectors whose true neighbours are found to tell how many more, the share of those that have to be reached,
+#: and, with two levels, the most probable partitions that leaves are looked for in.
+PROBES, ASKED, WANTED, REACHED = 4, 512, 0.95, 16
+#: Leaves that are searched at most.
+MOST_PROBES = 128
 BLOCK, QUERIES = 4_096, 8_192
 GRAPH, SLACK, HIDDEN, EPOCHS = 10, 1.15, 64, 40
 
@@ -224,6 +229,39 @@ def _tree(reps: DataFrame, root: Router, leaves: int) -> Tree:
     return Tree(root, {row["part"]: Router.of(weights) if (weights := pickle.loads(row["weights"])) else None for row in fitted})
 
 
+def _truly_near(asked: np.ndarray, asked_keys: np.ndarray, router: Router | Tree):
+    """key, embedding of all vectors to the K of each task that are most similar to each asked one, with the leaf that holds them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, leaf = np.full((len(asked), K), -2.0), np.full((len(asked), K), -1, np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = unit(batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(batch.num_rows, -1))
+            s = asked @ x.T
+            s[asked_keys[:, None] == batch.column("key").to_numpy()[None]] = -2
+            s, leaves = np.concatenate([best, s], axis=1), np.concatenate([leaf, np.tile(router.best(x, 1)[:, 0], (len(asked), 1))], axis=1)
+            top = np.argpartition(-s, K - 1, axis=1)[:, :K]
+            best, leaf = np.take_along_axis(s, top, axis=1), np.take_along_axis(leaves, top, axis=1)
+        rows, place = np.nonzero(leaf >= 0)
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(best[rows, place]), pa.array(leaf[rows, place])], ["asked", "similarity", "leaf"])
+
+    return run
+
+
+def probes_wanted(reps: DataFrame, router: Router | Tree, leaves: int) -> int:
+    """The least number of leaves, from PROBES on, in which WANTED of the true neighbours of ASKED vectors lie."""
+    sample = reps.orderBy(F.xxhash64("key", F.lit(11)), "key").limit(ASKED).toPandas()
+    asked, keys = unit(np.stack(sample["embedding"].to_numpy())), sample["key"].to_numpy()
+    order = Window.partitionBy("asked").orderBy(F.desc("similarity"), "leaf")
+    found = reps.mapInArrow(_truly_near(asked, keys, router), "asked int, similarity double, leaf bigint")
+    found = found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= K).toPandas()
+    ranked = router.best(asked, leaves)[found["asked"].to_numpy()]
+    at = ranked == found["leaf"].to_numpy()[:, None]
+    places = np.sort(np.where(at.any(axis=1), at.argmax(axis=1), leaves))
+    return int(min(max(PROBES, places[math.ceil(WANTED * len(places)) - 1] + 1), leaves)) if len(places) else PROBES
+
+
 def _search(table: pa.Table) -> pa.Table:
     """The best K of one block of stored vectors for one part of the queries."""
     stored = np.array(table.column("stored").to_pylist(), bool)
@@ -266,13 +304,14 @@ def nearest(vectors: DataFrame, probes: int | None = None) -> DataFrame:
     leaves = max(1, n // PER_PARTITION)
     twice = n > ONE_LEVEL
     parts = min(MOST_PARTITIONS, math.ceil(math.sqrt(leaves)) if twice else leaves)
-    probes = probes or (PROBES_TWICE if twice else PROBES)
     router = None
     if parts > 1:
         sample = reps.select("embedding").orderBy(F.xxhash64("key", F.lit(3)), "key").limit(SAMPLE).toPandas()
         router = fit(unit(np.stack(sample["embedding"].to_numpy())), parts)
         if twice:
             router = _tree(reps.select("key", "embedding"), router, min(MOST_PARTITIONS, math.ceil(leaves / parts)))
+        probes = probes or probes_wanted(reps.select("key", "embedding"), router, min(leaves, MOST_PROBES))
+    probes = probes or PROBES
     routed = cut(reps.select("key", "embedding").mapInArrow(_route(router, probes), "key bigint, vector binary, parts array<int>"))
 
     held = routed.groupBy(F.get("parts", F.lit(0)).alias("part")).agg(F.count("*").alias("held"))
