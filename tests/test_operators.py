@@ -39,6 +39,37 @@ def test_similarity_matches_numpy(spark, monkeypatch):
     assert similarity.pairwise_histogram(df.limit(0)).count() == 0
 
 
+def test_blocks_of_vectors_are_not_shuffled(spark, monkeypatch):
+    """Pairs of blocks are made of what lies in the shared folder, and a task's similarities come out as one row of counts."""
+    monkeypatch.setattr(similarity, "BLOCK", 4)
+    x = np.random.default_rng(1).normal(size=(90, 6))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, embedding array<double>")
+    blocks = similarity._blocks(df)
+    pairs = similarity._block_pairs(blocks)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "CartesianProduct" in plan
+    got = [(min(r), max(r)) for r in pairs.select("a", "b").collect()]
+    n = blocks.count()
+    assert len(got) == len(set(got)) == n * (n + 1) // 2 and n >= 23
+    assert pairs.rdd.getNumPartitions() <= similarity.TASKS * spark.sparkContext.defaultParallelism
+
+
+def test_median_in_finer_bins(spark, monkeypatch):
+    """Many values in the median's bin are counted in finer bins; equal ones, and two ranks in bins far apart, come to an end."""
+    monkeypatch.setattr(similarity, "BLOCK", 8)
+    monkeypatch.setattr(similarity, "KEPT", 2)
+    monkeypatch.setattr(similarity, "BINS", 256)
+    monkeypatch.setattr(similarity, "LEVELS", 6)
+    axes, crowd = np.eye(6), np.ones((31, 6)) + 1e-4 * np.random.default_rng(2).normal(size=(31, 6))
+    # 60 pairs of two axes at 0, 45 + 15 pairs of one at 1: the two middle ranks are 0 and 1.
+    halves = np.repeat(axes[:2], [10, 6], axis=0)
+    for x in (crowd, halves, np.repeat(axes[:1], 20, axis=0)):
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, embedding array<double>")
+        s = (x @ x.T)[~np.eye(len(x), dtype=bool)]
+        assert math.isclose(similarity.pairwise_stats(df).first().median, np.median(s), abs_tol=1e-14)
+
+
 def test_vector_expressions(spark):
     df = spark.createDataFrame([([3.0, 4.0], [4.0, 3.0]), ([0.0, 0.0], [1.0, 1.0]), ([1.0], [1.0, 2.0]), (None, [1.0])], "a array<float>, b array<float>")
     assert [r.d for r in df.select(dot(F.col("a"), F.col("b")).alias("d")).collect()] == [24.0, 0.0, None, None]
