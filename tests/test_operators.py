@@ -52,6 +52,11 @@ def test_blocks_of_vectors_are_not_shuffled(spark, monkeypatch):
     n = blocks.count()
     assert len(got) == len(set(got)) == n * (n + 1) // 2 and n >= 23
     assert pairs.rdd.getNumPartitions() <= similarity.TASKS * spark.sparkContext.defaultParallelism
+    # However many pairs a task has, few are in its memory; the session's setting is as it was.
+    before, finish = spark.conf.get(similarity.BATCH), lambda state: similarity.pa.RecordBatch.from_pydict({"n": [max(state)]})
+    monkeypatch.setattr(similarity, "_values", lambda batch, i: iter([[0] * batch.num_rows]))
+    most = similarity._folded(pairs, lambda: [0], lambda state, values: state.append(len(values)), finish, "n bigint")
+    assert max(r.n for r in most.collect()) <= similarity.PAIRS_AT_ONCE and spark.conf.get(similarity.BATCH) == before
 
 
 def test_median_in_finer_bins(spark, monkeypatch):
